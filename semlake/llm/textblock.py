@@ -43,7 +43,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, nulls as empty, and where each row begins (one more at the end)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "") if len(column) else column.cast(pa.large_string())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     if data is None or not len(column):
@@ -125,13 +125,14 @@ def grams(row: np.ndarray, hashed: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return whole, mix(total[whole] + np.uint64(k))
 
 
-def batches(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def batches(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each; a longer text comes alone."""
-    _, at = utf8(batch.column(batch.schema.get_field_index(column)))
-    i, n = 0, batch.num_rows
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1)
-        j = min(j, n)
+    text = batch.column(batch.schema.get_field_index(column))
+    n = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    i = 0
+    while i < len(n):
+        j = min(len(n), max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1))
         yield batch.slice(i, j - i)
         i = j
 

@@ -7,6 +7,7 @@ has an empty histogram; other columns, whatever their names, play no part.
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections.abc import Iterator
 
@@ -33,12 +34,9 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(vocabulary)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast = None
+        with open(vocabulary) as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        self.vocabulary, self.slow, self.fast = vocabulary, None, None
         ranks = os.path.splitext(vocabulary)[0] + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -51,9 +49,14 @@ class Encoder:
             )
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
-            return self.slow.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        if self.fast is not None and not any(s in text for s in self.special):
+            return self.fast.encode_ordinary(text)
+        if self.slow is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.vocabulary)
+        return self.slow.encode(text, add_special_tokens=False).ids
 
 
 def lengths(docs: DataFrame, vocabulary: str) -> DataFrame:

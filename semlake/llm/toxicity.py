@@ -17,7 +17,6 @@ any confirmed toxic text every score is 0; other columns, whatever their names,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +28,10 @@ from semlake.llm import textblock
 #: Bounds of the training sample: confirmed toxic texts, unlabelled texts, and the longest text (in characters) it takes.
 POSITIVES, UNLABELLED, LONGEST = 4000, 12000, 60_000
 #: Hashed features; beginnings of words in bytes.
-DIMENSIONS = 1 << 20
+DIMENSIONS = 1 << 19
 BEGINNINGS = (4, 5, 6, 7, 8)
 TIERS = (1, 2, 4)
+FEATURES = len(TIERS) * DIMENSIONS
 THRESHOLD = 0.7
 #: The share of toxic texts where the labels name no text that isn't.
 PRIOR = 0.1
@@ -41,50 +41,60 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _buckets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of every word and every word's beginnings."""
+    for row, name in textblock.beginnings(*textblock.utf8(column), BEGINNINGS):
+        yield row, (name & np.uint64(DIMENSIONS - 1)).astype(np.int64)
+
+
+def _tiers(row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature): a bucket's feature for each number of times in TIERS that the row reaches."""
+    pair, n = np.unique(row * DIMENSIONS + bucket, return_counts=True)
+    row, bucket = pair // DIMENSIONS, pair % DIMENSIONS
+    some = [n >= least for least in TIERS]
+    return (
+        np.concatenate([row[x] for x in some]),
+        np.concatenate([bucket[x] + t * DIMENSIONS for t, x in enumerate(some)]),
+    )
+
+
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) pairs, each once, for the texts of a column."""
-    data, at = textblock.utf8(column)
-    rows, names = [], []
-    for row, name in textblock.beginnings(data, at, BEGINNINGS):
-        rows.append(row)
-        names.append(name)
-    row, name = np.concatenate(rows), np.concatenate(names)
-    pair, n = np.unique((row.astype(np.uint64) << np.uint64(32)) | (name >> np.uint64(32)), return_counts=True)
-    row, name = (pair >> np.uint64(32)).astype(np.int64), pair & np.uint64(0xFFFFFFFF)
-    out_row, out = [], []
-    for tier, least in enumerate(TIERS):
-        some = n >= least
-        out_row.append(row[some])
-        out.append((textblock.mix(name[some] + np.uint64(tier << 33)) % np.uint64(DIMENSIONS)).astype(np.int64))
-    pair = np.unique(np.concatenate(out_row) * DIMENSIONS + np.concatenate(out))
-    return pair // DIMENSIONS, pair % DIMENSIONS
-
-
-@dataclass
+    """(row, feature), each once and ordered by row, for the texts of a column."""
+    row, bucket = (np.concatenate(x) for x in zip(*_buckets(column), strict=True))
+    row, feature = _tiers(row, bucket)
+    order = np.argsort(row, kind="stable")
+    return row[order], feature[order]
+
+
 class Model:
-    weights: np.ndarray  # float32, DIMENSIONS
-    bias: float
-    trained: bool = True
+    def __init__(self, weights: np.ndarray, bias: float, trained: bool = True) -> None:
+        self.weights, self.bias, self.trained = weights.astype(np.float32), bias, trained
+        self.chosen = weights.reshape(len(TIERS), DIMENSIONS).any(axis=0)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if not self.trained:
             return np.zeros(len(column))
-        row, name = features(column)
-        total = np.bincount(row, self.weights[name].astype(np.float64), minlength=len(column)) + self.bias
+        rows, buckets = [], []
+        for row, bucket in _buckets(column):  # most buckets have no weight
+            some = self.chosen[bucket]
+            rows.append(row[some])
+            buckets.append(bucket[some])
+        row, feature = _tiers(np.concatenate(rows), np.concatenate(buckets))
+        total = np.bincount(row, self.weights[feature].astype(np.float64), minlength=len(column)) + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, models: int = 3, epochs: int = 40, seed: int = 5) -> Model:
-    """Train on lists of each text's features."""
+    """A model from each text's features. Those with a z-score under 4 between the classes are left out."""
     if not positive:
-        return Model(np.zeros(DIMENSIONS, np.float32), 0.0, trained=False)
+        return Model(np.zeros(FEATURES), 0.0, trained=False)
     n_p, n_u = len(positive), max(1, len(unlabelled))
-    in_p = np.bincount(np.concatenate(positive), minlength=DIMENSIONS)
-    in_u = np.bincount(np.concatenate([np.zeros(0, np.int64), *unlabelled]), minlength=DIMENSIONS)
+    in_p = np.bincount(np.concatenate(positive), minlength=FEATURES)
+    in_u = np.bincount(np.concatenate([np.zeros(0, np.int64), *unlabelled]), minlength=FEATURES)
     share = (in_p + in_u) / (n_p + n_u)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-9)
     chosen = np.flatnonzero((np.abs(z) >= 4) & (in_p + in_u >= 4))
-    place = np.full(DIMENSIONS, -1)
+    place = np.full(FEATURES, -1)
     place[chosen] = np.arange(len(chosen))
     texts = [place[x][place[x] >= 0] for x in (*positive, *unlabelled)]
     sizes = np.array([len(x) for x in texts])
@@ -123,7 +133,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
                 b -= 0.3 * slope.sum() / np.sqrt(gb)
         total_w += w / models
         total_b += b / models
-    weights = np.zeros(DIMENSIONS, np.float32)
+    weights = np.zeros(FEATURES)
     weights[chosen] = total_w
     return Model(weights, total_b)
 
@@ -136,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     known = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not toxic:
-        return Model(np.zeros(DIMENSIONS, np.float32), 0.0, trained=False)
+        return Model(np.zeros(FEATURES), 0.0, trained=False)
     prior = min(0.5, max(0.001, toxic / n)) if toxic < n else PRIOR
     texts = docs.select("doc_id", "text").where(
         F.col("doc_id").isNotNull() & (F.length("text") <= LONGEST) & ~held_out(F.col("doc_id"))
