@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from semlake.llm import textblock
 
 #: Bounds of the training sample: confirmed toxic texts, unlabelled texts, and the longest text (in characters) it takes.
-POSITIVES, UNLABELLED, LONGEST = 4000, 12000, 60_000
+POSITIVES, UNLABELLED, LONGEST = 3000, 6000, 20_000
 #: Hashed features; beginnings of words in bytes.
 DIMENSIONS = 1 << 19
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -89,8 +89,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive:
         return Model(np.zeros(FEATURES), 0.0, trained=False)
     n_p, n_u = len(positive), max(1, len(unlabelled))
-    in_p = np.bincount(np.concatenate(positive), minlength=FEATURES)
-    in_u = np.bincount(np.concatenate([np.zeros(0, np.int64), *unlabelled]), minlength=FEATURES)
+    in_p, in_u = np.zeros(FEATURES), np.zeros(FEATURES)
+    for total, some in ((in_p, positive), (in_u, unlabelled)):
+        for x in some:
+            total[x] += 1
     share = (in_p + in_u) / (n_p + n_u)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-9)
     chosen = np.flatnonzero((np.abs(z) >= 4) & (in_p + in_u >= 4))
@@ -163,21 +165,25 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
                 row, name = features(b.column(1))
                 at = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(at), pa.array(name.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0), found], names=["y", "features"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), found], names=["y", "key", "features"])
 
+    # Ordered by content, as rows arrive in any order.
     rows = (
         texts.join(F.broadcast(ids), "doc_id")
-        .select("y", "text")
-        .mapInArrow(run, "y int, features array<int>")
+        .select("y", "text", F.xxhash64("text").alias("key"))
+        .mapInArrow(run, "y int, key long, features array<int>")
         .toArrow()
     )
-    y = rows.column("y").to_numpy()
-    lists = rows.column("features").combine_chunks()
-    flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-    texts_of = [flat[at[i] : at[i + 1]].astype(np.int64) for i in range(len(y))]
-    # By content, as the order in which rows arrive is not fixed.
-    texts_of = sorted(zip(y.tolist(), texts_of, strict=True), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
-    return fit([x for k, x in texts_of if k == 1], [x for k, x in texts_of if k == 0], prior)
+    order = np.lexsort([rows.column("key").to_numpy(), rows.column("y").to_numpy()])
+    y = rows.column("y").to_numpy()[order]
+    parts = [c for c in rows.column("features").chunks if len(c)]
+    del rows
+    each = []
+    for c in parts:
+        at = c.offsets.to_numpy() - c.offsets[0].as_py()
+        each += np.split(c.flatten().to_numpy(), at[1:-1])
+    each = [each[i] for i in order]
+    return fit([x for k, x in zip(y, each, strict=True) if k == 1], [x for k, x in zip(y, each, strict=True) if k == 0], prior)
 
 
 def score(text: Column, model: Model) -> Column:
