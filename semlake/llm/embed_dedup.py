@@ -175,8 +175,9 @@ def _finish(vectors: DataFrame, rows: DataFrame, equal: DataFrame, found: DataFr
         member = table(components(found.select(F.col("node").alias("u"), F.col("centre").alias("v"))), "components")
         rooted = equal.drop("v").join(member, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = table(rooted, "rooted")
-        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        groups = table(rooted.join(least, "root").select("name", "n", F.coalesce("links", F.lit(0)).alias("links"), "component_id"), "groups")
+        least = table(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "roots")
+        groups = join_hot(rooted, least, "root", "size", rooted.count())
+        groups = table(groups.select("name", "n", F.coalesce("links", F.lit(0)).alias("links"), "component_id"), "groups")
     usable = join_hot(rows.drop("v"), groups, "name", "n", rows.count()).select(
         "vec_id", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id"
     )

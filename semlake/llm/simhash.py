@@ -247,8 +247,10 @@ def labelled(prints: DataFrame, roots: Sequence[Root], budget: int) -> DataFrame
     drop_table(found)
     # Fingerprints without a link are their own component and need no join beyond this one.
     rooted = nodes.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = table(rooted.join(least, "root").select("fp", "n", "root", "component_id"), "groups")
+    rooted = table(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    groups = join_hot(rooted, table(least, "roots"), "root", "size", nodes.count())
+    groups = table(groups.select("fp", "n", "root", "component_id"), "groups")
     drop_table(member)
     return join_hot(prints, groups, "fp", "n", prints.count())
 
