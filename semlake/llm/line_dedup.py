@@ -4,8 +4,11 @@ Pages are grouped by host. A line counts once for each page that has it; a line
 ``ratio`` of the host's pages have it and at least ``least_pages`` do. Counts are combined before they move. A host has
 less than (lines of an average page) / ratio boilerplate lines, so a host's list of them is small, whatever its size.
 
-Defined results: lines end at \\n or \\r\\n and are compared without white space around them; blank lines stay and never
-count; a null page text gives null and no lines; a url without a host (or null) counts under the host ''; rows that share
+A page's lines are those of its text: comments, scripts and styles go, block-level tags and line ends part lines, other tags
+go, and the commonest entities are resolved.
+
+Defined results: lines have no white space around them, and blank lines are none; a null page gives a null text and no
+lines; a page without text gives an empty one; a url without a host (or null) counts under the host ''; rows that share
 a page_id are pages of their own; an empty table has an empty result; other columns, whatever their names, play no part.
 """
 
@@ -17,6 +20,14 @@ from pyspark.sql import functions as F
 from semlake.llm.common import join_hot, table
 
 RATIO, LEAST_PAGES = 0.3, 3
+HIDDEN = r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>"
+BLOCK = (
+    r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header"
+    r"|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
+)
+TAG = r"<[^>]*>"
+#: In this order, the ampersand's last.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
 EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -25,21 +36,26 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def mark(line: Column) -> Column:
-    """A line's name: 128 bits of what is left without white space around it; null for a blank line."""
-    bare = F.regexp_replace(line, EDGES, "")
-    return F.when(bare != "", F.unhex(F.md5(bare.cast("binary"))))
+def lines_of(html: Column) -> Column:
+    """The lines of a page's text."""
+    text = F.regexp_replace(html, HIDDEN, "")
+    text = F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), TAG, "")
+    for entity, plain in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    bare = F.transform(F.split(text, "\r?\n"), lambda x: F.regexp_replace(x, EDGES, ""))
+    return F.filter(bare, lambda x: x != "")
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(text, "\r?\n")
+def mark(line: Column) -> Column:
+    """A line's name: 128 bits."""
+    return F.unhex(F.md5(line.cast("binary")))
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> tuple[DataFrame, int]:
     """(host, pages, marks): the marks of each host's boilerplate lines (null for none); and the number of all pages."""
-    named = pages.select(host_of(F.col("url")).alias("host"), F.col("html").alias("text"))
-    marks = F.array_distinct(F.transform(lines_of(F.col("text")), mark))
-    each = named.select("host", F.explode(marks).alias("mark")).where("mark is not null")
+    named = pages.select(host_of(F.col("url")).alias("host"), "html")
+    marks = F.transform(F.array_distinct(lines_of(F.col("html"))), mark)
+    each = named.select("host", F.explode(marks).alias("mark"))
     totals = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     totals = table(totals, "hosts")
     counts = each.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
@@ -51,31 +67,34 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
 def drop_repeated_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) for every page."""
     hosts, total = boilerplate(pages, ratio, least_pages)
-    named = pages.select("page_id", host_of(F.col("url")).alias("host"), F.col("html").alias("text"))
-    rows = join_hot(named, hosts, "host", "pages", total).withColumn("lines", lines_of(F.col("text")))
-    kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("marks", mark(x)), F.lit(False)))
+    named = pages.select("page_id", host_of(F.col("url")).alias("host"), "html")
+    rows = join_hot(named, hosts, "host", "pages", total).withColumn("lines", lines_of(F.col("html")))
+    kept = F.filter("lines", lambda x: ~F.array_contains("marks", mark(x)))
     kept = F.when(F.col("marks").isNull(), F.col("lines")).otherwise(kept)
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
+    n = F.when(F.col("html").isNull(), F.lit(0)).otherwise(n)
+    left = F.when(F.col("html").isNull(), F.lit(0)).otherwise(F.size("kept"))
     return rows.withColumn("kept", kept).select(
-        "page_id", "host", n.alias("n_lines"),
-        (n - F.when(F.col("text").isNull(), 0).otherwise(F.size("kept"))).cast("long").alias("n_dropped"),
-        F.array_join("kept", "\n").alias("text"),
-    )
+        "page_id", "host", n.alias("n_lines"), (n - left).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text")
+    )
 
 
 def oracle(ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> str:
+    text = f"regexp_replace(regexp_replace(regexp_replace(html, '{HIDDEN}', '', 'g'), '{BLOCK}', chr(10), 'g'), '{TAG}', '', 'g')"
+    for entity, plain in ENTITIES:
+        text = f"replace({text}, '{entity}', '{plain}')"
     return f"""
     WITH p AS (
       SELECT row_number() OVER () AS r, page_id, html,
              lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '')) AS host,
-             regexp_split_to_array(html, '\\r?\\n') AS lines FROM pages),
-    l AS (SELECT r, host, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM p),
-    b AS (SELECT *, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS bare FROM l),
-    n AS (SELECT host, bare, count(DISTINCT r) AS n FROM b WHERE bare <> '' GROUP BY ALL),
+             regexp_split_to_array({text}, '\\r?\\n') AS lines FROM pages),
+    l AS (SELECT r, host, regexp_replace(unnest(lines), '{EDGES}', '', 'g') AS line, unnest(range(len(lines))) AS i FROM p),
+    b AS (SELECT * FROM l WHERE line <> ''),
+    n AS (SELECT host, line, count(DISTINCT r) AS n FROM b GROUP BY ALL),
     t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-    bad AS (SELECT host, bare FROM n JOIN t USING (host) WHERE n >= {least_pages} AND n > pages * {ratio}),
-    k AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n_kept
-          FROM b ANTI JOIN bad USING (host, bare) GROUP BY r)
-    SELECT page_id, host, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines), 0) - coalesce(n_kept, 0) AS n_dropped,
+    bad AS (SELECT host, line FROM n JOIN t USING (host) WHERE n >= {least_pages} AND n > pages * {ratio}),
+    k AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n_kept FROM b ANTI JOIN bad USING (host, line) GROUP BY r),
+    a AS (SELECT r, count(*) AS n_lines FROM b GROUP BY r)
+    SELECT page_id, host, coalesce(n_lines, 0) AS n_lines, coalesce(n_lines, 0) - coalesce(n_kept, 0) AS n_dropped,
            CASE WHEN html IS NULL THEN NULL ELSE coalesce(text, '') END AS text
-    FROM p LEFT JOIN k USING (r)"""
+    FROM p LEFT JOIN a USING (r) LEFT JOIN k USING (r)"""
