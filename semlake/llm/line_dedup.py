@@ -28,7 +28,7 @@ BLOCK = (
 TAG = r"<[^>]*>"
 #: In this order, the ampersand's last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
-EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def host_of(url: Column) -> Column:
@@ -42,7 +42,7 @@ def lines_of(html: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), TAG, "")
     for entity, plain in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(plain))
-    bare = F.transform(F.split(text, "\r?\n"), lambda x: F.regexp_replace(x, EDGES, ""))
+    bare = F.transform(F.split(text, "\r?\n"), lambda x: F.btrim(x, F.lit(WHITE)))
     return F.filter(bare, lambda x: x != "")
 
 
@@ -51,13 +51,16 @@ def mark(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> tuple[DataFrame, int]:
+def split_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, host, lines; null for a null page), written once, as counting and dropping both read it."""
+    return table(pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines")), "lines")
+
+
+def boilerplate(split: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> tuple[DataFrame, int]:
     """(host, pages, marks): the marks of each host's boilerplate lines (null for none); and the number of all pages."""
-    named = pages.select(host_of(F.col("url")).alias("host"), "html")
-    marks = F.transform(F.array_distinct(lines_of(F.col("html"))), mark)
-    each = named.select("host", F.explode(marks).alias("mark"))
-    totals = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    totals = table(totals, "hosts")
+    marks = F.transform(F.array_distinct("lines"), mark)
+    each = split.select("host", F.explode_outer(marks).alias("mark")).where("mark is not null")
+    totals = table(split.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
     counts = each.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     often = counts.join(totals, "host").where(F.col("n") > F.col("pages") * ratio)
     marked = totals.join(often.groupBy("host").agg(F.collect_list("mark").alias("marks")), "host", "left")
@@ -66,17 +69,16 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
 
 def drop_repeated_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) for every page."""
-    hosts, total = boilerplate(pages, ratio, least_pages)
-    named = pages.select("page_id", host_of(F.col("url")).alias("host"), "html")
-    rows = join_hot(named, hosts, "host", "pages", total).withColumn("lines", lines_of(F.col("html")))
+    split = split_pages(pages)
+    hosts, total = boilerplate(split, ratio, least_pages)
     kept = F.filter("lines", lambda x: ~F.array_contains("marks", mark(x)))
     kept = F.when(F.col("marks").isNull(), F.col("lines")).otherwise(kept)
-    n = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
-    n = F.when(F.col("html").isNull(), F.lit(0)).otherwise(n)
-    left = F.when(F.col("html").isNull(), F.lit(0)).otherwise(F.size("kept"))
-    return rows.withColumn("kept", kept).select(
-        "page_id", "host", n.alias("n_lines"), (n - left).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text")
-    )
+    none = F.col("lines").isNull()
+    return join_hot(split, hosts, "host", "pages", total).withColumn("kept", kept).select(
+        "page_id", "host", F.when(none, 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(none, 0).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        F.array_join("kept", "\n").alias("text"),
+    )
 
 
 def oracle(ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> str:
@@ -88,7 +90,7 @@ def oracle(ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> str:
       SELECT row_number() OVER () AS r, page_id, html,
              lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '')) AS host,
              regexp_split_to_array({text}, '\\r?\\n') AS lines FROM pages),
-    l AS (SELECT r, host, regexp_replace(unnest(lines), '{EDGES}', '', 'g') AS line, unnest(range(len(lines))) AS i FROM p),
+    l AS (SELECT r, host, trim(unnest(lines), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line, unnest(range(len(lines))) AS i FROM p),
     b AS (SELECT * FROM l WHERE line <> ''),
     n AS (SELECT host, line, count(DISTINCT r) AS n FROM b GROUP BY ALL),
     t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
