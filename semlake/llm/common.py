@@ -1,45 +1,18 @@
-"""Shared pieces: tables in the cluster's shared folder, joins that split hot keys, ranks, components."""
+"""Shared pieces: joins that split hot keys, sums over earlier rows, components; and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key holding at least one row in HOT_PARTS is hot; so there are at most HOT_PARTS hot keys, whatever the data.
-HOT_PARTS = 1000
-
+from semlake.storage import drop_table, shared_dir, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of ours where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="semlake-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+__all__ = ["components", "drop_table", "global_prefix", "join_hot", "prefix_within", "shared_dir", "table", "text_key"]
 
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there and lost executors only reread."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/semlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._semlake_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table written by table() that no later step reads."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._semlake_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+#: A key holding at least one row in HOT_PARTS is hot; so there are at most HOT_PARTS hot keys, whatever the data.
+HOT_PARTS = 1000
 
 
 def text_key(text: Column | str = "text") -> Column:

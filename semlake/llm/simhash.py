@@ -155,8 +155,8 @@ class Trie:
         Returns the labels and which leaves are left for the traversal."""
         left = np.ones(len(self.unit), bool)
         edge = np.flatnonzero(np.concatenate([[True], self.unit[1:] != self.unit[:-1], [True]]))
-        for s, e in zip(edge[:-1], edge[1:], strict=True):
-            at = np.arange(s, e)
+        for u in np.flatnonzero(np.diff(edge) > 2048):
+            at = np.arange(edge[u], edge[u + 1])
             while len(at) > 2048:
                 some = self.words[at[:: max(1, len(at) // 4096)]]
                 bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(len(some), -1), axis=1)
