@@ -17,7 +17,7 @@ other columns, whatever their names, play no part.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -192,15 +192,12 @@ def stars(unit: np.ndarray, words: np.ndarray, budget: int) -> tuple[np.ndarray,
     return trie.order[member], trie.order[label[member]]
 
 
-def meet(nodes: DataFrame, roots: Sequence[Root], schema: str, work: Callable[..., list[np.ndarray]]) -> DataFrame:
-    """What ``work(unit, words, node, ...)`` finds in each task's units, given nodes (fp, node, more 64-bit columns) and
-    the roots that bring them together. Words are turned so that a root's bits, in which all of a unit agree, go last."""
+def links(prints: DataFrame, roots: Sequence[Root], budget: int) -> DataFrame:
+    """(u, v): stars that join every group of distinct fingerprints (node, fp) which some root brings together."""
     n_words = 1 + max(w for w, _, _ in roots)
-    ids = [c for c in nodes.columns if c != "fp"]
-    names = [f.split()[0] for f in schema.split(", ")]
 
-    def words_of(b: pa.RecordBatch) -> np.ndarray:
-        col = b.column(b.schema.get_field_index("fp"))
+    def words_of(b: pa.RecordBatch, column: str = "fp") -> np.ndarray:
+        col = b.column(b.schema.get_field_index(column))
         return np.frombuffer(b"".join(col.to_pylist()), ">u8").astype(np.uint64).reshape(b.num_rows, -1)
 
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,19 +206,20 @@ def meet(nodes: DataFrame, roots: Sequence[Root], schema: str, work: Callable[..
             for k, (w, low, width) in enumerate(roots):
                 key = (words[:, w] >> np.uint64(low)) & np.uint64((1 << width) - 1)
                 unit = (key | np.uint64(k << 40)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(unit), *b.columns], names=["unit", *b.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(unit), *b.columns], names=["unit", "node", "fp"])
 
     def join(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in parts if b.num_rows]
         if not held:
             return
-        unit, *more = (np.concatenate([b.column(b.schema.get_field_index(c)).to_numpy() for b in held]) for c in ("unit", *ids))
+        unit = np.concatenate([b.column(0).to_numpy() for b in held])
+        node = np.concatenate([b.column(1).to_numpy() for b in held])
         words = np.concatenate([words_of(b) for b in held])
         del held
         shared = np.unique(unit, return_inverse=True, return_counts=True)
         many = shared[2][shared[1]] > 1
-        unit, words, more = unit[many], words[many], [x[many] for x in more]
-        for w in range(n_words):
+        unit, node, words = unit[many], node[many], words[many]
+        for w in range(n_words):  # the root's bits go last, as all of a unit agree in them
             for low, width in {(x[1], x[2]) for x in roots if x[0] == w}:
                 k = [i for i, x in enumerate(roots) if x == (w, low, width)]
                 own = np.isin(unit >> 40, k)
@@ -233,82 +231,12 @@ def meet(nodes: DataFrame, roots: Sequence[Root], schema: str, work: Callable[..
         for w in range(1, n_words):
             own = first == w
             words[own] = np.roll(words[own], -w, axis=1)
-        out = work(unit, words, *more)
-        if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
-
-    typed = ", ".join(f"{c} binary" if c == "fp" else f"{c} long" for c in nodes.columns)
-    routed = nodes.mapInArrow(route, f"unit long, {typed}")
-    return routed.repartition("unit").mapInArrow(join, schema)
-
-
-def links(prints: DataFrame, roots: Sequence[Root], budget: int) -> DataFrame:
-    """(u, v): stars that join every group of distinct fingerprints (node, fp) which some root brings together."""
-
-    def work(unit: np.ndarray, words: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
         a, b = stars(unit, words, budget)
-        return [node[a], node[b]]
-
-    return meet(prints.select("node", "fp"), roots, "u long, v long", work)
-
-
-def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints, by the last axis."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-
-
-def nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray, cluster: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of links (i, j) at distance d, the nearest j for each i and cluster of j, ties to the first."""
-    order = np.lexsort([j, d, cluster[j], i])
-    i, j, d = i[order], j[order], d[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (i[1:] != i[:-1]) | (cluster[j[1:]] != cluster[j[:-1]])
-    return i[new], j[new], d[new]
-
-
-def between(unit: np.ndarray, words: np.ndarray, cluster: np.ndarray, budget: int) -> tuple[np.ndarray, ...]:
-    """(i, j, distance): links within the budget between different clusters of a unit, for each i and cluster the nearest
-    j. A cluster with many leaves in a unit is met only by leaves that its centre and radius leave possible; pairs
-    within it are never looked at."""
-    found = [tuple(np.zeros(0, np.int64) for _ in range(3))]
-    held = 0
-
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        nonlocal found, held
-        other = cluster[i] != cluster[j]
-        i, j = i[other], j[other]
-        i, j = np.concatenate([i, j]), np.concatenate([j, i])
-        found.append((i, j, apart(words[i], words[j])))
-        held += len(i)
-        if held > 1 << 21:
-            found = [nearest(*(np.concatenate(x) for x in zip(*found, strict=True)), cluster)]
-            held = 0
-
-    left = np.ones(len(unit), bool)
-    order = np.lexsort([cluster, unit])
-    u, c = unit[order], cluster[order]
-    edge = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (c[1:] != c[:-1]), [True]]))
-    for k in np.flatnonzero(np.diff(edge) > 1024):
-        own = order[edge[k] : edge[k + 1]]
-        first, last = np.searchsorted(u, u[edge[k]]), np.searchsorted(u, u[edge[k]], side="right")
-        rest = order[first:last]
-        rest = rest[left[rest] & (cluster[rest] != c[edge[k]])]
-        bits = np.unpackbits(words[own].astype(">u8").view(np.uint8).reshape(len(own), -1), axis=1)
-        centre = np.packbits(bits.mean(axis=0) > 0.5).view(">u8").astype(np.uint64)
-        far = apart(words[own], centre)
-        rest_far = apart(words[rest], centre)
-        rest, rest_far = (x[rest_far <= far.max() + budget] for x in (rest, rest_far))
-        step = max(1, Trie.MOST // max(1, len(rest)))
-        for at in range(0, len(own) if len(rest) else 0, step):
-            some = own[at : at + step]
-            i, j = np.nonzero(apart(words[some][:, None], words[rest][None]) <= budget)
-            add(some[i], rest[j])
-        left[own] = False
-    kept = np.flatnonzero(left)
-    trie = Trie(unit[kept], words[kept], budget)
-    for i, j in trie.pairs():
-        add(kept[trie.order[i]], kept[trie.order[j]])
-    return nearest(*(np.concatenate(x) for x in zip(*found, strict=True)), cluster)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["u", "v"])
+
+    routed = prints.select("node", "fp").mapInArrow(route, "unit long, node long, fp binary")
+    return routed.repartition("unit").mapInArrow(join, "u long, v long")
 
 
 def labelled(prints: DataFrame, roots: Sequence[Root], budget: int) -> DataFrame:
@@ -351,81 +279,94 @@ def hamming_budget(similarity: float, bits: int, errors: float) -> int:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, hashes): the distinct shingles, sorted 64-bit hashes, of the texts in wanted (node, doc_id, text_key)."""
+    """(loose, cluster, node, hashes): the distinct shingles, as sorted 64-bit hashes, of the texts that wanted (loose,
+    cluster, node, doc_id, text_key) names; once for each row of docs with that doc_id and text."""
+    names = ["loose", "cluster", "node"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for b in textblock.batches(part, "text"):
-                texts = b.column(1).cast(pa.binary()).to_pylist()
+                texts = b.column(3).cast(pa.binary()).to_pylist()
                 sets = [np.unique(shingle_hashes(t or b"", k)).tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], names=[*names, "hashes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_key"] == wanted["text_key"])
-    found = rows.join(wanted, same).select("node", "text").mapInArrow(run, "node long, hashes binary")
-    return found.dropDuplicates(["node"])
-
+    return rows.join(wanted, same).select(*names, "text").mapInArrow(run, "loose long, cluster long, node long, hashes binary")
+
+
+#: Bytes of shingles in a block.
+BLOCK = 4 << 20
+
+
+def similar(cluster: np.ndarray, sets: Sequence[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): a star for each group of clusters that similar sets join. Texts are met through shared shingles; pairs
+    within a cluster or a group found so far need no comparison, and none is handed on."""
+    names, own = np.unique(cluster, return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1] if size.sum() else np.zeros(0, np.int64)
+    order = np.argsort(shingle, kind="stable")
+    text = np.repeat(np.arange(len(sets)), size)[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+    at = np.concatenate([[0], np.cumsum(size)])
+    label = np.arange(len(names))
+    for i in range(len(sets)):
+        mine = shingle[at[i] : at[i + 1]]
+        n = first[mine + 1] - first[mine]
+        if (label[own] == label[own[i]]).all() or not (n > 1).any():
+            continue
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        both = np.bincount(text[np.repeat(first[mine], n) + nth], minlength=len(sets))
+        like = np.flatnonzero((both > 0) & (both >= similarity * (size[i] + size - both) - 1e-9))
+        label = textblock.components_of(len(label), np.full(len(like), own[i]), own[like], label)
+    member = np.flatnonzero(label != np.arange(len(label)))
+    return names[member], names[label[member]]
 
-#: Pairs that one copy of a text's shingles serves.
-SHARE = 256
 
+def similar_clusters(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links between clusters by similar texts, given sets (loose, cluster, node, hashes).
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows of pairs (a, b, ...) whose sets have at least that Jaccard similarity. The shingles of a text in many
-    pairs are copied, a copy for every SHARE pairs, so that no task gets all pairs of a text."""
-    other = [c for c in pairs.columns if c not in ("a", "b")]
-    for side, far in (("a", "b"), ("b", "a")):
-        copies = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).cast("int").alias("copies"))
-        copies = table(copies, "copies")
-        dealt = sets.withColumnRenamed("node", side).join(copies, side)
-        dealt = dealt.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-        # Copies of the few texts in more than SHARE pairs; how many a text has is known to both sides.
-        salted = pairs.join(copies, side).withColumn("copy", F.pmod(F.xxhash64(far), F.col("copies")).cast("int")).drop("copies")
-        pairs = salted.join(dealt.withColumnRenamed("hashes", f"hashes_{side}"), [side, "copy"]).drop("copy")
+    All texts of a loose group are compared. Groups of up to BLOCK bytes of shingles share units, several in each; larger
+    ones are cut into blocks by hash, and every two blocks meet in a unit of twice that size.
+    """
+    sizes = sets.groupBy("loose").agg(F.sum(F.length("hashes")).alias("bytes"))
+    sizes = table(sizes.withColumn("blocks", F.ceil(F.col("bytes") / F.lit(BLOCK)).cast("int")), "sizes")
+    shared = max(1, -(-(sizes.where("blocks <= 1").agg(F.sum("bytes")).first()[0] or 0) // BLOCK))
+    dealt = sets.join(sizes.drop("bytes"), "loose").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    small = dealt.where("blocks <= 1").select(F.pmod(F.xxhash64("loose"), F.lit(shared)).alias("unit"), F.lit(-1).alias("p"), F.lit(-1).alias("q"), "cluster", "hashes")
+    large = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select(F.col("loose").alias("unit"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "cluster", "hashes")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            left, right = (b.column(b.schema.get_field_index(f"hashes_{side}")).to_pylist() for side in "ab")
-            like = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                both = np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).size
-                like[i] = both >= similarity * ((len(x) + len(y)) // 8 - both) and both > 0
-            yield b.select(other).filter(pa.array(like))
+    def run(t: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        u, v = similar(t.column("cluster").to_numpy(), rows, similarity)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return pairs.select(*other, "hashes_a", "hashes_b").mapInArrow(run, ", ".join(f"{c} long" for c in other))
+    return small.unionByName(large).groupBy("unit", "p", "q").applyInArrow(run, "u long, v long")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest doc_id (then the smallest text hash).
 
     Texts are compared by their sets of k-word shingles. Fingerprints of 384 bits that lie three standard errors nearer
-    than ``similarity`` asks for link at once, into clusters. Those up to three standard errors further are candidates:
-    for each text and cluster that it doesn't belong to, the nearest text in the cluster is compared by exact Jaccard
-    similarity, and links if that is at least ``similarity``. Groups are what links reach.
+    than ``similarity`` asks for link at once, into clusters; those up to three standard errors further make loose
+    groups. In loose groups of several clusters all texts are compared by exact Jaccard similarity, and clusters join
+    where it is at least ``similarity``.
     """
     prints = table(fingerprints(docs, k, WIDE_WORDS, sets=True), "prints")
     bits = 64 * WIDE_WORDS
-    clusters = table(labelled(prints, WIDE_ROOTS, hamming_budget(similarity, bits, -3)).drop("component_id"), "clusters")
+    clusters = labelled(prints, WIDE_ROOTS, hamming_budget(similarity, bits, -3)).drop("component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    nodes = table(clusters.groupBy("fp", "node", "root").agg(F.min(order).alias("k")), "nodes")
-    loose = hamming_budget(similarity, bits, 3)
-
-    def work(unit: np.ndarray, words: np.ndarray, node: np.ndarray, root: np.ndarray) -> list[np.ndarray]:
-        i, j, d = between(unit, words, root, loose)
-        return [node[i], root[i], node[j], root[j], d]
-
-    found = meet(nodes.select("fp", "node", "root"), WIDE_ROOTS, "a long, u long, b long, v long, d long", work)
-    best = found.groupBy("a", "u", "v").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"), "u", "v")
-    turned = F.col("a") > F.col("b")  # a pair that is nearest both ways is compared once
-    ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("u", "v"), ("v", "u"))]
-    pairs = table(best.select(*ends).distinct(), "pairs")
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-    wanted = wanted.select("node", F.col("k.doc_id").alias("doc_id"), F.col("k.text_key").alias("text_key"))
+    nodes = clusters.groupBy("fp", "node", "root").agg(F.min(order).alias("k")).withColumnRenamed("root", "cluster")
+    nodes = table(nodes, "nodes")
+    loose = components(links(nodes, WIDE_ROOTS, hamming_budget(similarity, bits, 3))).withColumnRenamed("root", "loose")
+    loose = table(nodes.select("node", "cluster", "k").join(loose, "node"), "loose")
+    mixed = loose.groupBy("loose").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a < b").select("loose")
+    wanted = loose.join(mixed, "loose").select("loose", "cluster", "node", "k.doc_id", "k.text_key")
     sets = table(shingle_sets(docs, wanted, k), "sets")
-    joined = components(similar_pairs(pairs, sets, similarity)).withColumnRenamed("node", "root_of")
-    least = nodes.groupBy("root").agg(F.min("k").alias("k"))
-    final = least.join(joined.select(F.col("root_of").alias("root"), F.col("root").alias("whole")), "root", "left")
-    kept = final.groupBy(F.coalesce("whole", "root").alias("whole")).agg(F.min("k").alias("k"))
+    joined = components(similar_clusters(sets, similarity)).select(F.col("node").alias("cluster"), F.col("root").alias("whole"))
+    least = nodes.groupBy("cluster").agg(F.min("k").alias("k")).join(joined, "cluster", "left")
+    kept = least.groupBy(F.coalesce("whole", "cluster").alias("whole")).agg(F.min("k").alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__text"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key() == F.col("__text"))
     return docs.join(kept.hint("shuffle_hash"), same, "left_semi").select(*docs.columns)

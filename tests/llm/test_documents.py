@@ -233,31 +233,18 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark):
     assert ids >= set(range(n)) and n + 12 in ids and not ids & {n + 13, n + 14}
 
 
-@pytest.mark.parametrize(("n", "budget"), [(300, 20), (3000, 20), (3000, 13)])
-def test_links_between_clusters(n, budget):
-    """The nearest link of each leaf with each other cluster of its unit, clusters of over a thousand leaves among them."""
-    rng = np.random.default_rng(n + budget)
-    base = rng.integers(0, 2**64, 2, dtype=np.uint64)
-    centres = np.stack([base, base ^ np.uint64(0xFF), base ^ np.uint64(0xFFF0000), rng.integers(0, 2**64, 2, dtype=np.uint64)])
-    cluster = rng.choice(4, n, p=[0.6, 0.2, 0.1, 0.1])
-    words = centres[cluster]
-    for _ in range(3):
-        words = words ^ np.where(rng.random((n, 2)) < 0.6, np.uint64(1) << rng.integers(0, 64, (n, 2), dtype=np.uint64), np.uint64(0))
-    unit = rng.integers(0, 2, n)
-    far = simhash.apart(words[:, None], words[None])
-    want = {}
-    for i, j in zip(*np.nonzero((far <= budget) & (unit[:, None] == unit[None]) & (cluster[:, None] != cluster[None])), strict=True):
-        key = (int(i), int(cluster[j]))
-        want[key] = min(want.get(key, 999), int(far[i, j]))
-    i, j, d = simhash.between(unit, words, cluster, budget)
-    assert (simhash.apart(words[i], words[j]) == d).all() and (unit[i] == unit[j]).all() and want
-    assert {(a, b): k for a, b, k in zip(i.tolist(), cluster[j].tolist(), d.tolist(), strict=True)} == want and len(i) == len(want)
-
-
-def test_near_dedup_stage_decides_borderline_pairs_exactly(spark):
+@pytest.mark.parametrize("block", [simhash.BLOCK, 30_000])
+def test_near_dedup_stage_decides_borderline_pairs_exactly(spark, monkeypatch, block):
     """Copies with more and more changed words, similarities on both sides of 0.8, and texts of few or repeated words."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(7)
     rows = []
+    hub = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    for i in range(40):  # a group of more than one small block
+        words = hub[:]
+        for at in rng.sample(range(300), rng.randint(3, 12)):
+            words[at] = f"z{i}"
+        rows.append((3000 + i, " ".join(words), "en", "s", 1))
     for i in range(0, 400, 4):
         words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(rng.randint(60, 400))]
         changed = words[:]
@@ -279,7 +266,7 @@ def test_near_dedup_stage_decides_borderline_pairs_exactly(spark):
                 linked.append((i, j))
     label = brute_components(len(ids), linked)
     out = simhash.drop_near_duplicates(documents(spark, rows)).collect()
-    assert 30 < len(linked) < 80
+    assert 30 < len(linked) < 700
     assert sorted(r.doc_id for r in out) == [ids[i] for i, x in enumerate(label) if i == x]
 
 
