@@ -94,7 +94,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v): root is the smallest node that can be reached.
 
     Alternating large-star and small-star steps: each round hangs the larger neighbours, then the smaller ones, of each
-    node under the smallest it knows, until nothing changes. Minima are combined before rows move.
+    node under the smallest it knows, until nothing changes. Minima are combined before rows move, and the neighbours of a
+    node with very many of them stay where they are.
     """
     now = table(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
@@ -106,13 +107,16 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = (n, h)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        least = table(least, "least")
+        large = join_hot(both, least, "u", "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = table(large.where("u <> v").distinct(), "large")
+        down = table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "down")
+        # Large stars have at most as many rows as there are edges.
+        small = join_hot(large, down, "u", "n", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = table(small.union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        drop_table(now)
+        for done in (now, least, large, down):
+            drop_table(done)
         now = after
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
