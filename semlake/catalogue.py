@@ -462,11 +462,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # ---- content, placement, paths
 
 
+def chunked(docs: DataFrame) -> DataFrame:
+    return content.chunk_index(content.fixed_chunks(docs.select(F.col("doc_id").alias("oid"), F.col("text").alias("data")), 65_536))
+
+
 @query("q_chunk_dedup", "WITH c AS (SELECT text, unnest(range(0, strlen(text), 65536)) AS pos FROM documents WHERE strlen(text) = length(text)) SELECT sha256(substr(text, pos + 1, 65536)) AS hash, count(*) AS ref_count, any_value(least(65536, length(text) - pos)) AS length FROM c GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Over texts in ASCII, whose bytes and characters SQL cuts alike."""
-    docs = S.read(spark, d, "documents").where(F.octet_length("text") == F.char_length("text"))
-    return content.chunk_index(content.fixed_chunks(docs.select(F.col("doc_id").alias("oid"), F.col("text").alias("data")), 65_536))
+    """Only over texts in ASCII, whose bytes and characters this SQL cuts alike; q_chunk_dedup_all takes every text."""
+    return chunked(S.read(spark, d, "documents").where(F.octet_length("text") == F.char_length("text")))
+
+
+@query("q_chunk_dedup_all", "WITH c AS (SELECT encode(text) AS data, unnest(range(0, strlen(text), 65536)) AS pos FROM documents) SELECT sha256(data[pos + 1 : pos + 65536]) AS hash, count(*) AS ref_count, any_value(least(65536, octet_length(data) - pos)) AS length FROM c GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return chunked(S.read(spark, d, "documents"))
 
 
 @query("q_content_dedup", "SELECT sha256(text) AS hash, count(*) AS ref_count, any_value(strlen(text)) AS length FROM documents GROUP BY sha256(text)")
