@@ -64,19 +64,26 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
     return np.packbits(ones * 2 > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, k: int, words: int = 1, sets: bool = False) -> DataFrame:
-    """(doc_id, text_key, fp) for every row; sets: repeats of a shingle don't count."""
+def fingerprints(docs: DataFrame, k: int, words: int = 1, sets: bool = False, few: int = 0) -> DataFrame:
+    """(doc_id, text_key, fp) for every row; sets: repeats of a shingle don't count. few: with the distinct shingles of
+    texts that have up to so many, as ``few``, null for others."""
+    names = ["doc_id", "text_key", "fp"] + ["few"] * bool(few)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for b in textblock.batches(part, "text"):
                 texts = b.column(2).cast(pa.binary()).to_pylist()
-                hashes = (shingle_hashes(t or b"", k) for t in texts)
-                prints = [fingerprint(np.unique(h) if sets else h, words) for h in hashes]
-                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(prints, pa.binary())], names=["doc_id", "text_key", "fp"])
+                prints, short = [], []
+                for t in texts:
+                    h = shingle_hashes(t or b"", k)
+                    h = np.unique(h) if sets or few else h
+                    prints.append(fingerprint(h, words))
+                    short.append(h.view(np.int64) if 0 < len(h) <= few else None)
+                columns = [*b.columns[:2], pa.array(prints, pa.binary())] + [pa.array(short, pa.list_(pa.int64()))] * bool(few)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, fp binary")
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp binary" + ", few array<long>" * bool(few))
 
 
 class Trie:
@@ -295,6 +302,28 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.join(wanted, same).select(*names, "text").mapInArrow(run, "loose long, cluster long, node long, hashes binary")
 
 
+#: Fingerprints of texts with fewer shingles are too coarse (ties round to 0): pairs with such a text are found by shingles.
+SHORT = 30
+
+
+def short_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): stars that join any two nodes (node, few) whose shingles have that similarity, and others besides.
+
+    The rarest shingles of each text come first; similar sets then share one among the first n - ceil(similarity * n) + 1
+    of each, n being its own size.
+    """
+    each = table(nodes.where("few is not null").select("node", F.size("few").alias("size"), F.explode("few").alias("shingle")), "few")
+    total = each.count()
+    often = table(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "often")
+    # A shingle of one text joins nothing, but takes a place among the first.
+    ranked = join_hot(each, often, "shingle", "n", total).groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    first = (F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
+    some = ranked.select("node", F.explode(F.slice("all", F.lit(1), first)).alias("x")).where("x.n > 1").select("node", "x.shingle")
+    some = table(some, "first")
+    stars = table(some.groupBy("shingle").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")), "firsts")
+    return join_hot(some, stars, "shingle", "n", some.count()).where("node <> v").select(F.col("node").alias("u"), "v")
+
+
 #: Bytes of shingles in a block.
 BLOCK = 4 << 20
 
@@ -350,16 +379,18 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
 
     Texts are compared by their sets of k-word shingles. Fingerprints of 384 bits that lie three standard errors nearer
     than ``similarity`` asks for link at once, into clusters; those up to three standard errors further make loose
-    groups. In loose groups of several clusters all texts are compared by exact Jaccard similarity, and clusters join
-    where it is at least ``similarity``.
+    groups, and so do texts with few shingles that share one of their rarest. In loose groups of several clusters all
+    texts are compared by exact Jaccard similarity, and clusters join where it is at least ``similarity``.
     """
-    prints = table(fingerprints(docs, k, WIDE_WORDS, sets=True), "prints")
+    few = math.floor((SHORT - 1) / similarity + 1e-9)  # what a short text can be similar to
+    prints = table(fingerprints(docs, k, WIDE_WORDS, sets=True, few=few), "prints")
     bits = 64 * WIDE_WORDS
     clusters = labelled(prints, WIDE_ROOTS, hamming_budget(similarity, bits, -3)).drop("component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    nodes = clusters.groupBy("fp", "node", "root").agg(F.min(order).alias("k")).withColumnRenamed("root", "cluster")
+    nodes = clusters.groupBy("fp", "node", "root").agg(F.min(order).alias("k"), F.min_by("few", order).alias("few")).withColumnRenamed("root", "cluster")
     nodes = table(nodes, "nodes")
-    loose = components(links(nodes, WIDE_ROOTS, hamming_budget(similarity, bits, 3))).withColumnRenamed("root", "loose")
+    near = links(nodes, WIDE_ROOTS, hamming_budget(similarity, bits, 3)).unionByName(short_links(nodes, similarity))
+    loose = components(near).withColumnRenamed("root", "loose")
     loose = table(nodes.select("node", "cluster", "k").join(loose, "node"), "loose")
     mixed = loose.groupBy("loose").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a < b").select("loose")
     wanted = loose.join(mixed, "loose").select("loose", "cluster", "node", "k.doc_id", "k.text_key")
