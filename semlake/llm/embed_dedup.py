@@ -34,7 +34,7 @@ COSINE = 0.9
 #: Bytes of the sample that centres are fitted on, as 32-bit components, and vectors of it for each cell.
 SAMPLE_BYTES, A_CELL = 64 << 20, 8
 #: Share of pairs at the threshold itself that cells may miss, by the measurement on the sample; pairs above it are closer.
-MISSED = 0.0005
+MISSED = 0.001
 #: Bytes of a block's unit vectors; a cell is home to about a quarter of a block, as others' vectors are shown to it too.
 BLOCK_BYTES = 8 << 20
 #: Cosines computed at a time.
@@ -82,9 +82,9 @@ def shown_to(x: np.ndarray, centres: np.ndarray, slack: float) -> tuple[np.ndarr
 def needed_slack(sample: np.ndarray, centres: np.ndarray, cosine: float, probes: int = 4000, seed: int = 9) -> float:
     """The slack at which all but MISSED of the pairs at the cosine meet.
 
-    Partners of sample vectors are made at exactly that cosine, in random directions and in those of other sample vectors;
-    pairs that the sample itself holds count as well. The widest need of the three holds. No need exceeds the sine of the
-    angle, at which a vector is shown to every cell that a partner can live in.
+    Partners of sample vectors are made at exactly that cosine, half in random directions and half in those of other sample
+    vectors; pairs that the sample itself holds are looked at as well, and the wider need holds. No need exceeds the sine
+    of the angle, at which a vector is shown to every cell that a partner can live in.
     """
     most = float(np.sqrt(max(0.0, 1 - cosine * cosine)))
     if len(centres) < 2:
@@ -106,15 +106,16 @@ def needed_slack(sample: np.ndarray, centres: np.ndarray, cosine: float, probes:
             each.append(np.where(hx == hy, 0.0, lead / np.maximum(apart, 1e-12)))
         needs.append(np.quantile(np.concatenate(each), 1 - MISSED))
 
-    for toward in (rng.normal(size=x.shape), sample[rng.choice(len(sample), len(x))]):
-        u = toward - (toward * x).sum(axis=1, keepdims=True) * x
-        norm = np.linalg.norm(u, axis=1)
-        some = norm > 1e-9
-        need(x[some], cosine * x[some] + most * u[some] / norm[some, None])
+    toward = np.concatenate([rng.normal(size=x.shape), sample[rng.choice(len(sample), len(x))]])
+    both = np.concatenate([x, x])
+    u = toward - (toward * both).sum(axis=1, keepdims=True) * both
+    norm = np.linalg.norm(u, axis=1)
+    some = norm > 1e-9
+    need(both[some], cosine * both[some] + most * u[some] / norm[some, None])
     for at in range(0, min(len(x), 1000), 100):
         i, j = np.nonzero(x[at : at + 100] @ sample.T >= cosine)
         need(x[at + i][:100_000], sample[j][:100_000])
-    return min(most, 1.05 * max(needs, default=most) + 0.005)
+    return min(most, max(needs, default=most))
 
 
 def unit_links(

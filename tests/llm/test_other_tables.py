@@ -110,7 +110,7 @@ def test_embedding_slack_is_wide_enough_in_each_dimension(size, flat, k):
     hx, rx, cx = embed_dedup.shown_to(x, centres, slack)
     hy, ry, cy = embed_dedup.shown_to(y, centres, slack)
     met = np.isin(np.arange(len(x)) << 32 | hy, rx << 32 | cx) | np.isin(np.arange(len(x)) << 32 | hx, ry << 32 | cy)
-    assert met.mean() >= 0.998
+    assert met.mean() >= 0.995
 
 
 def test_embedding_empty(spark):
