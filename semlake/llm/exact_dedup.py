@@ -3,18 +3,20 @@
 Documents are dealt into history (the lower half of the doc_id range, or a table given as such) and arrivals. History's
 distinct digests go, by their leading bits, into shards; each shard's minimal perfect hash gives every digest a slot of
 its own that holds the full 32 bytes and the winner's locator. An arrival's digest is looked up and compared byte by
-byte: a member repeats the slot's winner; nonmembers are grouped among themselves.
+byte: a member repeats the slot's winner; nonmembers are grouped among themselves. There are as many shards as the larger
+of the two sides asks for, so neither an index shard nor the look-ups that come to it outgrow a task.
 
 Defined results: a null text counts as empty; of equal texts the row with the smallest doc_id stays (a null doc_id sorts
-last, so it stays only in a group without any other); of rows that share that doc_id too, the one with the smallest hash
-over all columns, and of rows equal in every column just one; other columns, whatever their names, play no part.
+last, so it stays only in a group without any other); of rows that share text and that doc_id, one stays: any in the
+query, whose rows then differ in ``kept`` alone, and in ``drop_duplicates`` the one with the smallest hash over all
+columns; other columns, whatever their names, play no part; an empty table has an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semlake.llm import textblock
@@ -93,18 +95,17 @@ def build_index(groups: DataFrame, shards: int) -> DataFrame:
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = _raw(pdf["digest"])
         keys = _keys(raw)
-        # Two digests with the same 64 bits can't both have a slot by those bits: the second is left to nonmembers' grouping.
+        # Two digests with the same 64 bits can't both have a slot by those bits: the second is spare, behind the slots.
         order = np.argsort(keys, kind="stable")
         alone = np.ones(len(keys), bool)
         alone[order[1:]] = keys[order[1:]] != keys[order[:-1]]
-        raw, keys, winners = raw[alone], keys[alone], pdf["winner"].to_numpy(np.int64)[alone]
-        made = PerfectHash.build(keys)
-        slot = made.slots(keys)
-        at = np.argsort(slot)
+        winners = pdf["winner"].to_numpy(np.int64)
+        made = PerfectHash.build(keys[alone])
+        at = np.concatenate([np.flatnonzero(alone)[np.argsort(made.slots(keys[alone]))], np.flatnonzero(~alone)])
         return pd.DataFrame(
             {
                 "shard": [int(pdf["shard"].iloc[0])],
-                "n": [len(keys)],
+                "n": [int(alone.sum())],
                 "seeds": [made.tail.view(np.int32).tolist()],
                 "sizes": [made.sizes],
                 "bits": [np.packbits(made.bits).tobytes()],
@@ -121,7 +122,7 @@ def with_shard(df: DataFrame, shards: int) -> DataFrame:
 
 
 def look_up(arrivals: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """arrivals' digests with ``winner``: the locator in the slot whose digest has the same 32 bytes, else null."""
+    """arrivals (digest, doc_id, row, n) with ``winner``: the locator in the slot whose digest has the same 32 bytes, else null."""
 
     def probe(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         winner = pd.array([None] * len(asked), dtype="Int64")
@@ -135,20 +136,32 @@ def look_up(arrivals: DataFrame, index: DataFrame, shards: int) -> DataFrame:
             held = np.frombuffer(s["digests"], np.uint8).reshape(-1, 32)
             same = slot >= 0
             same[same] = (held[slot[same]] == raw[same]).all(axis=1)
-            found = np.frombuffer(s["winners"], np.int64)[slot[same]]
-            winner[np.flatnonzero(same)] = found
-        return pd.DataFrame({"digest": asked["digest"], "winner": winner})
-
-    return (
-        with_shard(arrivals, shards)
+            winners = np.frombuffer(s["winners"], np.int64)
+            winner[np.flatnonzero(same)] = winners[slot[same]]
+            for k in range(int(s["n"]), len(held)):
+                winner[(raw == held[k]).all(axis=1)] = winners[k]
+        return asked[["digest", "row", "n", "id", "none"]].assign(winner=winner)
+
+    # No column has nulls, so that pandas keeps 64-bit numbers.
+    plain = arrivals.select("digest", "row", "n", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"))
+    found = (
+        with_shard(plain, shards)
         .groupBy("shard")
         .cogroup(index.groupBy("shard"))
-        .applyInPandas(probe, "digest binary, winner long")
+        .applyInPandas(probe, "digest binary, row long, n long, id long, none boolean, winner long")
     )
+    return found.select("digest", F.when(~F.col("none"), F.col("id")).alias("doc_id"), "row", "n", "winner")
+
+
+def shards_for(sides: DataFrame, shard_keys: int) -> int:
+    """Shards of about shard_keys distinct digests for the larger side of (digest, old)."""
+    n = [r["count"] for r in sides.groupBy("old").count().collect()]  # at most two rows
+    return max(1, -(-max(n, default=0) // shard_keys))
 
 
 def duplicate_groups(keyed: DataFrame, history: Column | None = None, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """(digest, keep_id, group_size) for each distinct digest of keyed (doc_id, digest).
+    """(digest, keep_id, keep_row, group_size) for each distinct digest of keyed (doc_id, row, digest); row, the locator,
+    is a number that no other row has.
 
     history marks the historical rows; it defaults to those in the lower half of the doc_id range. Any choice under
     which history's doc_ids are the smaller ones gives the same groups.
@@ -157,31 +170,36 @@ def duplicate_groups(keyed: DataFrame, history: Column | None = None, shard_keys
     if history is None:
         history = F.coalesce(F.col("doc_id") <= F.lit(0 if low is None else low + (high - low) // 2), F.lit(False))
     # Combined before they move: a group of copies is a row for each task, however large it is.
-    sides = table(
-        keyed.groupBy("digest", history.alias("old")).agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")),
-        "digests",
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    sides = keyed.groupBy("digest", history.alias("old")).agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    sides = table(sides.select("digest", "old", "first.doc_id", "first.row", "n"), "digests")
+    old, new = sides.where("old").drop("old"), sides.where("not old").drop("old")
+    shards = shards_for(sides, shard_keys)
+    index = build_index(old.select("digest", F.col("row").alias("winner")), shards)
+    # Groups go by their locator: the slot's for members, who hand on no more than their number, and their own for others.
+    found = look_up(new, index, shards)
+    own = F.col("winner").isNull()
+    seen = old.select(F.col("row").alias("keep_row"), "digest", "doc_id", "n").unionByName(
+        found.select(F.coalesce("winner", "row").alias("keep_row"), F.when(own, F.col("digest")).alias("digest"), F.when(own, F.col("doc_id")).alias("doc_id"), "n")
     )
-    old, new = sides.where("old"), sides.where("not old")
-    shards = max(1, -(-old.count() // shard_keys))
-    index = build_index(old.select("digest", F.col("keep").alias("winner")), shards)
-    found = look_up(new.select("digest"), index, shards)
-    seen = (
-        new.join(found, "digest")
-        .select("digest", F.coalesce("winner", "keep").alias("keep"), "n")
-        .unionByName(old.select("digest", "keep", "n"))
-    )
-    return seen.groupBy("digest").agg(F.min("keep").alias("keep_id"), F.sum("n").alias("group_size"))
+    whole = seen.groupBy("keep_row").agg(F.max("digest").alias("digest"), F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    return whole.select("digest", "keep_id", "keep_row", "group_size")
+
+
+def numbered_digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, digest), written: a row's number stays what it is."""
+    return table(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("digest")), "keyed")
 
 
 def exact_duplicates(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row."""
-    keyed = table(docs.select("doc_id", digest(F.col("text")).alias("digest")), "keyed")
+    keyed = numbered_digests(docs)
     groups = table(duplicate_groups(keyed, shard_keys=shard_keys), "groups")
     return join_hot(keyed, groups, "digest", "group_size", keyed.count()).select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
+        (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -190,21 +208,29 @@ def drop_duplicates(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """docs without the rows whose text an earlier row has; one row of every group of equal texts stays."""
     columns = docs.columns
     marked = docs.select(*columns, digest(F.col("text")).alias("__digest"))
-    keyed = table(marked.select("doc_id", F.col("__digest").alias("digest")), "keyed")
+    keyed = numbered_digests(docs)
     groups = table(duplicate_groups(keyed, shard_keys=shard_keys), "groups")
-    drop_table(keyed)
     # Text and doc_id together spread a group of copies over all tasks, and only its first rows find a partner.
     row = lambda d, i: F.concat(d, F.coalesce(i.cast("string"), F.lit("none")).cast("binary"))
     winners = groups.select(row(F.col("digest"), F.col("keep_id")).alias("__row"))
     rows = marked.withColumn("__row", row(F.col("__digest"), F.col("doc_id"))).join(winners.hint("shuffle_hash"), "__row", "left_semi")
-    # What is left repeats only where rows share text and doc_id; the smallest hash over all columns stays.
+    several = keyed.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = table(several.select(row(F.col("digest"), F.col("doc_id")).alias("__row")), "several")
+    if several.isEmpty():
+        drop_table(keyed)
+        return rows.select(*columns)
+    # Rows that share text and doc_id: the smallest hash over all columns stays, found before rows move.
     whole = F.xxhash64(*[F.col(c).cast("string") if t.startswith("map") else F.col(c) for c, t in docs.dtypes])
-    nth = F.row_number().over(Window.partitionBy("__row").orderBy(whole))
-    return rows.withColumn("__nth", nth).where("__nth = 1").select(*columns)
+    rows = table(rows, "winners")
+    lone = rows.join(several.hint("shuffle_hash"), "__row", "left_anti").select(*columns)
+    again = rows.join(several.hint("shuffle_hash"), "__row", "left_semi")
+    one = again.groupBy("__row").agg(F.min_by(F.struct(*columns), whole).alias("__one"))
+    return lone.unionByName(one.select(*[F.col("__one")[c].alias(c) for c in columns]))
 
 
 def oracle(documents: str = "documents") -> str:
     return f"""
-    WITH k AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS h FROM {documents})
-    SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
-           doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM k"""
+    WITH k AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS h FROM {documents}),
+    g AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+          row_number() OVER (PARTITION BY h, doc_id) AS nth FROM k)
+    SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND nth = 1 AS kept, h AS text_sha256 FROM g"""

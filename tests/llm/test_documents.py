@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from fixtures import DOCS, corpus, documents
+from pyspark.sql import functions as F
 
 from semlake.llm import exact_dedup, license_scan, mixing, packing, simhash, tokens, toxicity
 
@@ -39,7 +40,10 @@ def test_exact_duplicates(spark, shard_keys):
     want = []
     for text, ids in brute_groups(corpus()).items():
         keep = min((i for i in ids if i is not None), default=None)
-        want += [(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+        own, kept = hashlib.sha256(text.encode()).hexdigest(), False
+        for i in ids:  # of rows that share the smallest doc_id, one
+            want.append((i, keep, len(ids), i == keep and not kept, own))
+            kept = kept or i == keep
     got = [tuple(r) for r in exact_dedup.exact_duplicates(documents(spark), shard_keys).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
@@ -55,6 +59,25 @@ def test_drop_duplicates_keeps_one_row_of_each_group(spark):
     assert kept == {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
 
 
+def test_index_is_cut_by_the_larger_side(spark):
+    """One far-off id leaves history a single row: arrivals alone ask for shards then."""
+    rows = [(-(10**15), "far", None, None, None), *[(1000 + i, f"text {i % 700}", None, None, None) for i in range(1000)]]
+    docs = documents(spark, rows)
+    sides = exact_dedup.numbered_digests(docs).select("digest", (F.col("doc_id") < 0).alias("old")).distinct()
+    assert exact_dedup.shards_for(sides, 50) == 14
+    got = exact_dedup.exact_duplicates(docs, shard_keys=50).collect()
+    assert sum(r.kept for r in got) == 701 and {r.group_size for r in got if r.doc_id and r.doc_id > 0} == {1, 2}
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(5, "a  b", "en", "s", 1)] * 3 + [(5, "a b", "de", "s", 1), (9, "a b", "en", "s", 1), (None, "c", None, None, 1), (None, "c", None, None, 1)]
+    got = exact_dedup.exact_duplicates(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.kept) for r in got if r.kept) == [("5", True), ("None", True)] and len(got) == 7
+    for docs in (documents(spark, rows), documents(spark, rows).repartition(5)):
+        out = exact_dedup.drop_duplicates(docs).collect()
+        assert sorted((str(r.doc_id), r.lang) for r in out) in ([("5", "en"), ("None", None)], [("5", "de"), ("None", None)])
+
+
 def test_perfect_hash_gives_every_key_its_own_slot():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64))
     made = exact_dedup.PerfectHash.build(keys)
