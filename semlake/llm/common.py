@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from semlake.storage import drop_table, shared_dir, table
 
-__all__ = ["components", "drop_table", "global_prefix", "join_hot", "prefix_within", "shared_dir", "table", "text_key"]
+__all__ = ["components", "drop_table", "global_prefix", "join_hot", "pick_rows", "prefix_within", "shared_dir", "table", "text_key"]
 
 #: A key holding at least one row in HOT_PARTS is hot; so there are at most HOT_PARTS hot keys, whatever the data.
 HOT_PARTS = 1000
@@ -86,10 +86,27 @@ def global_prefix(df: DataFrame, order: Sequence[str], add: Sequence[str]) -> Da
         F.broadcast(base), "__range"  # a row for each range: as many as there are shuffle partitions
     )
     for a in add:
-        out = out.withColumn(f"before_{a}", (F.col(f"__b_{a}") + F.col(f"__i_{a}")).cast("long")).drop(f"__b_{a}", f"__i_{a}")
+        out = out.withColumn(f"before_{a}", F.col(f"__b_{a}") + F.col(f"__i_{a}")).drop(f"__b_{a}", f"__i_{a}")
     return out.drop("__range")
 
 
+def pick_rows(docs: DataFrame, row: Column, winners: DataFrame, several: DataFrame) -> DataFrame:
+    """The rows of docs whose name (``row``) is in winners (__row, distinct), each name once. several: (__row) of the names
+    that more than one row of docs has; of those the one with the smallest hash over all columns stays, found before rows
+    move."""
+    columns = docs.columns
+    several = table(several, "several")
+    rows = docs.withColumn("__row", row).join(winners.hint("shuffle_hash"), "__row", "left_semi")
+    if several.isEmpty():
+        return rows.select(*columns)
+    whole = F.xxhash64(*[F.col(c).cast("string") if t.startswith("map") else F.col(c) for c, t in docs.dtypes])
+    rows = table(rows, "winners")
+    lone = rows.join(several.hint("shuffle_hash"), "__row", "left_anti").select(*columns)
+    again = rows.join(several.hint("shuffle_hash"), "__row", "left_semi")
+    one = again.groupBy("__row").agg(F.min_by(F.struct(*columns), whole).alias("__one"))
+    return lone.unionByName(one.select(*[F.col("__one")[c].alias(c) for c in columns]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v): root is the smallest node that can be reached.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semlake.llm import textblock
-from semlake.llm.common import drop_table, join_hot, table
+from semlake.llm.common import join_hot, pick_rows, table
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Distinct digests that a shard holds on average; about 50 bytes each while it is built.
@@ -206,26 +206,14 @@ def exact_duplicates(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame
 
 def drop_duplicates(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """docs without the rows whose text an earlier row has; one row of every group of equal texts stays."""
-    columns = docs.columns
-    marked = docs.select(*columns, digest(F.col("text")).alias("__digest"))
     keyed = numbered_digests(docs)
     groups = table(duplicate_groups(keyed, shard_keys=shard_keys), "groups")
     # Text and doc_id together spread a group of copies over all tasks, and only its first rows find a partner.
     row = lambda d, i: F.concat(d, F.coalesce(i.cast("string"), F.lit("none")).cast("binary"))
     winners = groups.select(row(F.col("digest"), F.col("keep_id")).alias("__row"))
-    rows = marked.withColumn("__row", row(F.col("__digest"), F.col("doc_id"))).join(winners.hint("shuffle_hash"), "__row", "left_semi")
     several = keyed.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    several = table(several.select(row(F.col("digest"), F.col("doc_id")).alias("__row")), "several")
-    if several.isEmpty():
-        drop_table(keyed)
-        return rows.select(*columns)
-    # Rows that share text and doc_id: the smallest hash over all columns stays, found before rows move.
-    whole = F.xxhash64(*[F.col(c).cast("string") if t.startswith("map") else F.col(c) for c, t in docs.dtypes])
-    rows = table(rows, "winners")
-    lone = rows.join(several.hint("shuffle_hash"), "__row", "left_anti").select(*columns)
-    again = rows.join(several.hint("shuffle_hash"), "__row", "left_semi")
-    one = again.groupBy("__row").agg(F.min_by(F.struct(*columns), whole).alias("__one"))
-    return lone.unionByName(one.select(*[F.col("__one")[c].alias(c) for c in columns]))
+    several = several.select(row(F.col("digest"), F.col("doc_id")).alias("__row"))
+    return pick_rows(docs, row(digest(F.col("text")), F.col("doc_id")), winners, several)
 
 
 def oracle(documents: str = "documents") -> str:

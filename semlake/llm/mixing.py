@@ -5,8 +5,9 @@ front of each row (range totals first, then within a range), and the source is c
 the source's size takes whole epochs first.
 
 Defined results: a null or empty text has size 0; a null source is a source of its own that sorts last; rows that share
-a doc_id are told apart by the hash of their text, and rows equal in both take places side by side; a source without
-words has target 0 and takes nothing. Other columns, whatever their names, play no part.
+a doc_id are told apart by the hash of their text, and rows equal in both take places side by side (as documents, what
+all of them take in whole texts is dealt evenly among them); a source without words has target 0 and takes nothing; an
+empty table has an empty result. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semlake.llm.common import global_prefix, prefix_within, table, text_key
+from semlake.llm.common import global_prefix, join_hot, prefix_within, table, text_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Targets stop at so many times their source's size.
@@ -34,8 +35,8 @@ def targets(sizes: DataFrame, weights: Mapping[str | None, float] | None = None,
     """(source, source_size, target): shares of all words by weight, none above ``most`` times its source's size.
 
     Without weights, sources ordered by code point (null last) weigh 1, 2, 3, repeating. What a source can't take is
-    shared out among the others by weight: with rate r the target is min(most * size, r * weight), and each round
-    brings r closer from below until no source stops at its bound any more.
+    shared out among the others by weight: with rate r the target is min(most * size, r * weight). Sources are sorted by
+    the rate at which they are full; one is full if the rate that those before it leave is no smaller.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
@@ -50,19 +51,15 @@ def targets(sizes: DataFrame, weights: Mapping[str | None, float] | None = None,
         weighed = by_source.select("source", "source_size", F.coalesce(given, F.lit(0.0)).alias("weight"))
     weighed = table(weighed, "sources")
     total = weighed.agg(F.sum("source_size")).first()[0] or 0
-    bound, rate = F.col("source_size") * F.lit(float(most)), 0.0
-    while True:
-        full = (F.lit(rate) * F.col("weight") >= bound) & F.lit(rate > 0)
-        taken, free = weighed.agg(
-            F.sum(F.when(full, bound).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))
-        ).first()
-        if not free:
-            break
-        after = max(rate, (total - taken) / free)
-        if after <= rate:
-            break
-        rate = after
-    return weighed.select("source", "source_size", F.least(bound, F.lit(rate) * F.col("weight")).alias("target"))
+    bounded = weighed.withColumn("bound", F.col("source_size") * F.lit(float(most)))
+    full_at = F.when(F.col("weight") > 0, F.col("bound") / F.col("weight")).otherwise(F.lit(float("inf")))
+    ranked = global_prefix(bounded.withColumn("full_at", full_at), ["full_at", "source"], ["weight", "bound"])
+    left, free = F.lit(float(total)) - F.col("before_bound"), F.col("all_weight") - F.col("before_weight")
+    ranked = table(ranked.withColumn("full", F.coalesce((F.col("weight") > 0) & (left >= F.col("full_at") * free), F.lit(False))), "ranked")
+    taken, open_ = ranked.agg(F.sum(F.when(F.col("full"), F.col("bound"))), F.sum(F.when(~F.col("full"), F.col("weight")))).first()
+    rate = max(0.0, total - (taken or 0.0)) / open_ if open_ else 0.0
+    goal = F.when(F.col("full"), F.col("bound")).otherwise(F.least("bound", F.lit(rate) * F.col("weight")))
+    return ranked.select("source", "source_size", goal.alias("target"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, most: int = MOST_EPOCHS, seed: int = 17) -> DataFrame:
@@ -99,12 +96,21 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, most
 
 def mixed_documents(docs: DataFrame, weights: Mapping[str | None, float] | None = None, most: int = MOST_EPOCHS, seed: int = 17) -> DataFrame:
     """docs with every row as often as the mix takes it in whole texts: rows beyond their source's budget go, others repeat."""
-    taken = (
-        mix(docs, weights, most, seed)
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"))
-        .agg(F.max("copies").alias("__copies"))
-        .where("__copies > 0")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key() == F.col("__text"))
+    name = lambda i, t: F.concat_ws("-", F.coalesce(i.cast("string"), F.lit("none")), t.cast("string"))
+    plan = mix(docs, weights, most, seed).groupBy(name(F.col("doc_id"), F.col("text_key")).alias("__row"))
+    plan = plan.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    plan = table(plan.where("__copies > 0"), "plan")
+    rows = docs.withColumn("__row", name(F.col("doc_id"), text_key()))
     repeated = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return docs.join(taken, same).withColumn("__copy", repeated).select(*docs.columns)
+    several = plan.where("__rows > 1")
+    if several.isEmpty():
+        return rows.join(plan, "__row").withColumn("__copy", repeated).select(*docs.columns)
+    lone = rows.join(plan.where("__rows = 1"), "__row").withColumn("__copy", repeated).select(*docs.columns)
+    # Rows that share doc_id and text are numbered, in ranges; the first ones get what an even share leaves over.
+    again = join_hot(rows, several, "__row", "__rows", docs.count())
+    again = table(again.withColumns({"__nth": F.xxhash64(F.monotonically_increasing_id()), "__one": F.lit(1)}), "again")
+    keys = prefix_within(again.select("__row", "__nth", "__one", "__rows", "__copies"), "__row", ["__nth"], ["__one"])
+    share = F.expr("__copies div __rows") + F.when(F.col("before___one") < F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    keys = keys.select("__row", "__nth", share.alias("__share")).where("__share > 0")
+    some = again.drop("__copies").join(keys, ["__row", "__nth"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__share").cast("int"))))
+    return lone.unionByName(some.select(*docs.columns))

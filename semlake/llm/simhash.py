@@ -10,8 +10,8 @@ Only distinct fingerprints are joined; a unit hands on a star for each of its gr
 found by distributed rounds.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and link like any other; rows
-that share a doc_id are fingerprinted one by one; a null doc_id never names a component unless no other id is in it;
-other columns, whatever their names, play no part.
+that share a doc_id are fingerprinted one by one; a null doc_id never names a component unless no other id is in it; an
+empty table has an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semlake.llm import textblock
-from semlake.llm.common import components, drop_table, join_hot, table, text_key
+from semlake.llm.common import components, drop_table, join_hot, pick_rows, table, text_key
 
 SEED = 42
 #: Shingles counted at a time.
@@ -199,8 +199,9 @@ def stars(unit: np.ndarray, words: np.ndarray, budget: int) -> tuple[np.ndarray,
     return trie.order[member], trie.order[label[member]]
 
 
-def links(prints: DataFrame, roots: Sequence[Root], budget: int) -> DataFrame:
-    """(u, v): stars that join every group of distinct fingerprints (node, fp) which some root brings together."""
+def links(prints: DataFrame, roots: Sequence[Root], budgets: Sequence[int]) -> DataFrame:
+    """(u, v, level): stars that join every group of distinct fingerprints (node, fp) which some root brings together; the
+    budgets' places are the levels, so that fingerprints move once for all of them."""
     n_words = 1 + max(w for w, _, _ in roots)
 
     def words_of(b: pa.RecordBatch, column: str = "fp") -> np.ndarray:
@@ -238,21 +239,25 @@ def links(prints: DataFrame, roots: Sequence[Root], budget: int) -> DataFrame:
         for w in range(1, n_words):
             own = first == w
             words[own] = np.roll(words[own], -w, axis=1)
-        a, b = stars(unit, words, budget)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["u", "v"])
+        for level, budget in enumerate(budgets):
+            a, b = stars(unit, words, budget)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(np.full(len(a), level, np.int32))], names=["u", "v", "level"])
 
     routed = prints.select("node", "fp").mapInArrow(route, "unit long, node long, fp binary")
-    return routed.repartition("unit").mapInArrow(join, "u long, v long")
+    return routed.repartition("unit").mapInArrow(join, "u long, v long, level int")
 
 
-def labelled(prints: DataFrame, roots: Sequence[Root], budget: int) -> DataFrame:
-    """prints (doc_id, fp) with root, a name of the component, and component_id, the smallest doc_id that links reach. A fingerprint goes by its XXH64: a
-    bijection for eight bytes (each of its steps can be undone), a 64-bit name for longer ones."""
-    nodes = table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("node", F.xxhash64("fp")), "nodes")
-    found = table(links(nodes, roots, budget), "links")
-    member = table(components(found), "components")
-    drop_table(found)
+def distinct(prints: DataFrame) -> DataFrame:
+    """(fp, least, n, node): each fingerprint of prints (doc_id, fp) once, under its number in this written table."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    return table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def labelled(prints: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """prints (doc_id, fp) with root, a name of the component that the links found (u, v) make, and component_id, the
+    smallest doc_id that they reach."""
+    member = table(components(found.select("u", "v")), "components")
     # Fingerprints without a link are their own component and need no join beyond this one.
     rooted = nodes.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = table(rooted, "rooted")
@@ -270,7 +275,9 @@ EXACT_ROOTS: tuple[Root, ...] = ((0, 42, 22), (0, 21, 21), (0, 0, 21))
 def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row: 64 bits, linked at two differing bits or fewer."""
     prints = table(fingerprints(docs, k).drop("text_key"), "prints")
-    return labelled(prints, EXACT_ROOTS, 2).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    nodes = distinct(prints)
+    found = table(links(nodes, EXACT_ROOTS, (2,)), "links")
+    return labelled(prints, nodes, found).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 #: For similar rather than almost equal texts: six words of 64 bits, rooted in five runs of 12 bits in each.
@@ -285,21 +292,22 @@ def hamming_budget(similarity: float, bits: int, errors: float) -> int:
     return math.floor(bits * share + errors * math.sqrt(bits * share * (1 - share)))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(loose, cluster, node, hashes): the distinct shingles, as sorted 64-bit hashes, of the texts that wanted (loose,
-    cluster, node, doc_id, text_key) names; once for each row of docs with that doc_id and text."""
-    names = ["loose", "cluster", "node"]
+def shingle_sets(docs: DataFrame, wanted: DataFrame, names: list[str], k: int) -> DataFrame:
+    """(names, hashes): the distinct shingles, as sorted 64-bit hashes, of the texts that wanted (names, doc_id, text_key)
+    names; docs has each doc_id and text once."""
+    types = dict(wanted.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for b in textblock.batches(part, "text"):
-                texts = b.column(3).cast(pa.binary()).to_pylist()
+                texts = b.column(len(names)).cast(pa.binary()).to_pylist()
                 sets = [np.unique(shingle_hashes(t or b"", k)).tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], names=[*names, "hashes"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(sets, pa.binary())], names=[*names, "hashes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_key"] == wanted["text_key"])
-    return rows.join(wanted, same).select(*names, "text").mapInArrow(run, "loose long, cluster long, node long, hashes binary")
+    return rows.join(wanted, same).select(*names, "text").mapInArrow(run, f"{schema}, hashes binary")
 
 
 #: Fingerprints of texts with fewer shingles are too coarse (ties round to 0): pairs with such a text are found by shingles.
@@ -374,27 +382,64 @@ def similar_clusters(sets: DataFrame, similarity: float) -> DataFrame:
     return small.unionByName(large).groupBy("unit", "p", "q").applyInArrow(run, "u long, v long")
 
 
+def unlike(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node): texts of sets (cluster, node, first, hashes) that are less similar than that to the one text of their
+    cluster which is marked first. A cluster's texts are dealt into units of about BLOCK bytes, and its first text goes to
+    each of them."""
+    sizes = sets.groupBy("cluster").agg(F.ceil(F.sum(F.length("hashes")) / F.lit(BLOCK)).cast("int").alias("units"))
+    units = F.greatest("units", F.lit(1))
+    dealt = sets.join(table(sizes, "sizes"), "cluster").withColumn(
+        "unit", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), units - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), units).cast("int"))))
+    )
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        first, node = t.column("first").to_numpy(), t.column("node").to_numpy()
+        one = rows[int(first.argmax())]
+        both = np.array([np.isin(x, one, assume_unique=True).sum() for x in rows])
+        size = np.array([len(x) for x in rows])
+        far = ~first & (both < similarity * (size + len(one) - both) - 1e-9)
+        return pa.table({"node": pa.array(node[far], pa.int64())})
+
+    return dealt.groupBy("cluster", "unit").applyInArrow(run, "node long")
+
+
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that with the smallest doc_id (then the smallest text hash).
+    """docs with one row of each group of near-duplicates: that with the smallest doc_id (then the smallest text hash, then
+    the smallest hash over all columns; of rows equal in all of them one).
 
     Texts are compared by their sets of k-word shingles. Fingerprints of 384 bits that lie three standard errors nearer
-    than ``similarity`` asks for link at once, into clusters; those up to three standard errors further make loose
-    groups, and so do texts with few shingles that share one of their rarest. In loose groups of several clusters all
-    texts are compared by exact Jaccard similarity, and clusters join where it is at least ``similarity``.
+    than ``similarity`` asks for make clusters, whose texts are each checked against the cluster's first by exact Jaccard
+    similarity; those that fail stand alone. Fingerprints up to three standard errors further make loose groups, and so do
+    texts with few shingles that share one of their rarest. In loose groups of several clusters all texts are compared
+    exactly, and clusters join where similarity is at least ``similarity``.
     """
     few = math.floor((SHORT - 1) / similarity + 1e-9)  # what a short text can be similar to
     prints = table(fingerprints(docs, k, WIDE_WORDS, sets=True, few=few), "prints")
+    row = lambda i, t: F.concat_ws("-", F.coalesce(i.cast("string"), F.lit("none")), t.cast("string"))
+    names = prints.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).select(row(F.col("doc_id"), F.col("text_key")).alias("__row"), "n")
+    several = table(names.where("n > 1").drop("n"), "several")
+    if not several.isEmpty():
+        docs = table(pick_rows(docs, row(F.col("doc_id"), text_key()), names.drop("n"), several), "documents")
     bits = 64 * WIDE_WORDS
-    clusters = labelled(prints, WIDE_ROOTS, hamming_budget(similarity, bits, -3)).drop("component_id")
+    print_nodes = distinct(prints)
+    found = table(links(print_nodes, WIDE_ROOTS, (hamming_budget(similarity, bits, -3), hamming_budget(similarity, bits, 3))), "links")
+    clusters = labelled(prints, print_nodes, found.where("level = 0")).drop("component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    nodes = clusters.groupBy("fp", "node", "root").agg(F.min(order).alias("k"), F.min_by("few", order).alias("few")).withColumnRenamed("root", "cluster")
-    nodes = table(nodes, "nodes")
-    near = links(nodes, WIDE_ROOTS, hamming_budget(similarity, bits, 3)).unionByName(short_links(nodes, similarity))
+    nodes = clusters.groupBy("fp", "node", "root").agg(F.min(order).alias("k"), F.min_by("few", order).alias("few"))
+    nodes = table(nodes.drop("fp"), "nodes")
+    # What lies near a cluster's first text is checked against it; what fails gets a name that no node has.
+    firsts = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", "k").alias("first")).where("n > 1")
+    checked = nodes.join(firsts, "root").select(F.col("root").alias("cluster"), "node", (F.col("node") == F.col("first")).alias("first"), "k.doc_id", "k.text_key")
+    far = table(unlike(table(shingle_sets(docs, checked, ["cluster", "node", "first"], k), "members"), similarity), "unlike")
+    nodes = nodes.join(far.withColumn("far", F.lit(True)), "node", "left")
+    nodes = table(nodes.withColumn("cluster", F.when(F.col("far"), -1 - F.col("node")).otherwise(F.col("root"))).drop("far", "root"), "nodes")
+    near = found.where("level = 1").select("u", "v").unionByName(short_links(nodes, similarity))
     loose = components(near).withColumnRenamed("root", "loose")
     loose = table(nodes.select("node", "cluster", "k").join(loose, "node"), "loose")
     mixed = loose.groupBy("loose").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a < b").select("loose")
     wanted = loose.join(mixed, "loose").select("loose", "cluster", "node", "k.doc_id", "k.text_key")
-    sets = table(shingle_sets(docs, wanted, k), "sets")
+    sets = table(shingle_sets(docs, wanted, ["loose", "cluster", "node"], k), "sets")
     joined = components(similar_clusters(sets, similarity)).select(F.col("node").alias("cluster"), F.col("root").alias("whole"))
     least = nodes.groupBy("cluster").agg(F.min("k").alias("k")).join(joined, "cluster", "left")
     kept = least.groupBy(F.coalesce("whole", "cluster").alias("whole")).agg(F.min("k").alias("k"))

@@ -127,6 +127,38 @@ def test_mixing_given_weights_and_whole_texts(spark):
     assert all(got[i] == c for (i, _), c in plan.items() if i is not None and i < 11)
 
 
+def test_mixing_repeated_rows_keeps_the_budget(spark):
+    """Six rows equal in doc_id and text, of which the mix takes some more often than others."""
+    rows = [(1, "ten words " * 5, "en", "a", n) for n in range(6)] + [(2 + i, "b c d " * 9, "en", "b", 1) for i in range(20)]
+    docs = documents(spark, rows)
+    copies = [r.copies for r in mixing.mix(docs, {"a": 1, "b": 5}).collect() if r.source == "a"]
+    out = [r for r in mixing.mixed_documents(docs, {"a": 1, "b": 5}).collect() if r.source == "a"]
+    assert len(set(copies)) > 1 and len(out) == sum(copies)
+    each = collections.Counter(r.n_chars for r in out)
+    assert set(each) == set(range(6)) and max(each.values()) - min(each.values()) == 1
+
+
+def brute_targets(sizes, weights, most):
+    total, full = sum(sizes.values()), set()
+    while True:
+        open_ = [s for s in sizes if s not in full and weights[s] > 0]
+        rate = (total - sum(most * sizes[s] for s in full)) / sum(weights[s] for s in open_) if open_ else 0
+        over = [s for s in open_ if rate * weights[s] >= most * sizes[s]]
+        if not over:
+            return {s: most * sizes[s] if s in full else rate * weights[s] for s in sizes}
+        full |= set(over)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_of_many_sources(spark, seed):
+    toss = random.Random(seed)
+    sizes = {f"s{i}": int(10 ** toss.uniform(0, 5)) * (i != 3) for i in range(60)}
+    weights = {s: toss.choice([0, 0.5, 1, 2, 30]) for s in sizes}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r.source: r.target for r in mixing.targets(df, weights, 3).collect()}
+    assert got == pytest.approx(brute_targets(sizes, weights, 3))
+
+
 # ---- packing
 
 
@@ -256,6 +288,21 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark):
     assert ids >= set(range(n)) and n + 12 in ids and not ids & {n + 13, n + 14}
 
 
+def test_near_dedup_stage_and_repeated_rows(spark):
+    """Rows with the same doc_id and text, and a null id: one row of each group stays."""
+    long = " ".join(f"w{i}" for i in range(90))
+    rows = [(5, long, "en", "s", 1)] * 3 + [(6, long + " more", "en", "s", 1)] * 2 + [(None, "x y z", "en", "s", 1)] * 2 + [(None, "other words", None, None, 1)]
+    out = simhash.drop_near_duplicates(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text[:1]) for r in out) == [("5", "w"), ("None", "o"), ("None", "x")]
+
+
+def test_clusters_are_checked_against_their_first_text(spark):
+    sets = {1: range(100), 2: range(10, 100), 3: range(30, 100), 4: range(5, 105)}
+    rows = [(9, n, n == 1, np.array(sorted(x), np.uint64).tobytes()) for n, x in sets.items()]
+    df = spark.createDataFrame(rows, "cluster long, node long, first boolean, hashes binary")
+    assert [r.node for r in simhash.unlike(df, 0.8).collect()] == [3]
+
+
 @pytest.mark.parametrize("block", [simhash.BLOCK, 30_000])
 def test_near_dedup_stage_decides_borderline_pairs_exactly(spark, monkeypatch, block):
     """Copies with more and more changed words, similarities on both sides of 0.8, and texts of few or repeated words."""
