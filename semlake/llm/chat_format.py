@@ -5,7 +5,7 @@ prompt; what follows on each side is that side's completion, a list of segments
 trained on.
 
 Defined results: turns go by (turn, role, text), nulls first, and a repeated row is a turn of its own; null roles and
-texts are rendered as empty and are equal to each other only; rows with a null conversation belong to none and are left
+texts are rendered as empty and are equal to each other only; an empty table has an empty result; rows with a null conversation belong to none and are left
 out; a pair without a rejected (or chosen) side has an empty prefix and a null completion there; other columns, whatever
 their names, play no part.
 """
@@ -35,6 +35,11 @@ def format_preferences(turns: DataFrame, trained_role: str = TRAINED_ROLE) -> Da
         F.array_sort(F.collect_list(F.when(F.col("chosen"), one))).alias("c"),
         F.array_sort(F.collect_list(F.when(~F.col("chosen"), one))).alias("r"),
     )
+    return formatted(pairs, trained_role)
+
+
+def formatted(pairs: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
+    """The same from pairs (pair_id, c, r), whose sides are turns in order."""
     differs = F.filter(
         F.sequence(F.lit(1), F.least(F.size("c"), F.size("r"))),
         lambda i: ~(
@@ -61,16 +66,24 @@ def format_preferences(turns: DataFrame, trained_role: str = TRAINED_ROLE) -> Da
     )
 
 
-def neighbours_as_pairs(conversations: DataFrame) -> DataFrame:
-    """Turns with pair_id and chosen, for a table without preferences of its own: conversations 2n and 2n + 1 are a pair
-    whose even one is chosen."""
-    return conversations.select(
-        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"),
-        (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"),
-        "turn",
-        "role",
-        "text",
+def replies_as_pairs(conversations: DataFrame, role: str = TRAINED_ROLE) -> DataFrame:
+    """(pair_id, c, r) for a table without preferences of its own: every conversation is chosen; rejected are its turns
+    before its last reply (turn of that role), followed by the reply that its neighbour (2n for 2n + 1, and the other way
+    round) gives at that turn. Without such a reply, nothing is rejected."""
+    one = F.struct("turn", "role", "text")
+    mine = F.struct(F.col("conv_id").alias("pair_id"), F.lit(True).alias("own"))
+    theirs = F.when(F.col("role") == role, F.struct(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.lit(False).alias("own")))
+    rows = conversations.where("conv_id is not null").select(F.explode(F.array_compact(F.array(mine, theirs))).alias("p"), one.alias("one"))
+    sides = rows.groupBy("p.pair_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("p.own"), F.col("one")))).alias("c"),
+        F.array_sort(F.collect_list(F.when(~F.col("p.own"), F.col("one")))).alias("o"),
     )
+    last = F.array_max(F.transform(F.filter("c", lambda t: t["role"] == role), lambda t: t["turn"]))
+    sides = sides.where(F.size("c") > 0).withColumn("last", last)
+    reply = F.filter("o", lambda t: t["turn"] == F.col("last"))
+    sides = sides.withColumn("reply", F.coalesce(reply, F.slice("o", 1, 0)))
+    before = F.filter("c", lambda t: t["turn"] < F.col("last"))
+    return sides.select("pair_id", "c", F.when(F.size("reply") > 0, F.concat(before, "reply")).otherwise(F.slice("c", 1, 0)).alias("r"))
 
 
 def digest(pairs: DataFrame) -> DataFrame:
@@ -98,10 +111,13 @@ def digest(pairs: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-    WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text,
-                      '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS s,
-                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
-               FROM conversations WHERE conv_id IS NOT NULL),
+    WITH o AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+    la AS (SELECT conv_id, max(turn) AS la FROM o WHERE role = 'assistant' GROUP BY conv_id),
+    y AS (SELECT la.conv_id AS pair_id, turn, role, text FROM o JOIN la ON xor(o.conv_id, 1) = la.conv_id AND turn = la AND role = 'assistant'),
+    x AS (SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM o UNION ALL SELECT pair_id, 1, turn, role, text FROM y UNION ALL
+          SELECT conv_id, 1, turn, role, text FROM o JOIN la USING (conv_id) WHERE turn < la AND conv_id IN (SELECT pair_id FROM y)),
+    t AS (SELECT pair_id, side, role, text, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS s,
+                 row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM x),
     n AS (SELECT pair_id, count(*) FILTER (side = 0) AS nc, count(*) FILTER (side = 1) AS nr FROM t GROUP BY pair_id),
     d AS (SELECT a.pair_id, min(a.i) AS i FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.side = 0 AND b.side = 1 AND a.i = b.i
           AND (a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text) GROUP BY a.pair_id),

@@ -2,15 +2,17 @@
 
 The words of licence templates give k-gram hashes with their positions; every rolling k-gram hash of every document is
 joined with them in Spark. A match votes for the diagonal (position in the document minus position in the template);
-diagonals that lie close together are one alignment with small insertions or losses. A span is verified by a second,
-independent hash of every gram that voted and by the share of the template's words that verified grams cover.
+neighbouring diagonals make one alignment with small insertions or losses. An alignment is verified gram by gram: each
+voted with a second, independent hash as well, and only grams in the template's order whose diagonals drift little from
+one to the next make a span (``runs``); a span stands if its grams cover enough of the template's words.
 
 Short phrases are templates of two-word grams for which every word must be covered on a single diagonal: these are the
-base places. Longer templates use five-word grams.
+base places. Longer templates use five-word grams; whole licences come as their paragraphs, each a template, so that a
+text which holds only a part is still told. The library is an argument.
 
 Defined results: a null text counts as empty; rows are scanned one by one, so repeated rows have equal results; a text
-without words or matches has no place, no label and score 0; ties between labels are listed in order; other columns,
-whatever their names, play no part.
+without words or matches has no place, no label and score 0; ties between labels are listed in order; an empty table has
+an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -28,26 +30,57 @@ from semlake.llm import textblock
 
 #: (label, phrase): fixed by the contract.
 PHRASES = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
-#: (label, text): openings of public licences and notices that name them.
+#: (label, text): paragraphs of public licences, and notices that name them. The licences' own words.
 TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
             "documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("mit", "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+            "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+            "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
+            "portions of the Software."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies."),
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
                "compliance with the License"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+               "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
             "Public License as published by the Free Software Foundation"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+             "Public License as published by the Free Software Foundation"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+             "Public License as published by the Free Software Foundation"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
             "the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+            "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+            "following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+            "derived from this software without specific prior written permission."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter "
+             "it and redistribute it freely, subject to the following restrictions"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+                  "use, compile, sell, or distribute this software"),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or "
+            "her rights to the work worldwide under copyright law"),
     ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
 ]
 GRAM, PHRASE_GRAM = 5, 2
-#: Diagonals at most so many words apart are one alignment.
+#: Diagonals at most so many words apart are neighbours; a span drifts no more from one gram to the next.
 DRIFT = 4
-#: Share of a template's words that verified grams must cover.
+#: Share of a template's words that a span's grams must cover.
 COVERED = 0.7
+SPANS_DDL = "doc_id long, row long, template int, label string, base boolean, first_word long, last_word long, votes long, covered double"
+SPANS = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for n, t in (c.split() for c in SPANS_DDL.split(", "))])
 #: The gram hash under which every row's number of words travels.
 TOTAL = 0
 
@@ -74,7 +107,8 @@ def _hashes(column: pa.Array, sizes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
 
 def rolling(docs: DataFrame, sizes: tuple[int, ...] = (PHRASE_GRAM, GRAM)) -> DataFrame:
     """(doc_id, row, place, k, hash, check) for all grams of all rows; and one line a row with k = TOTAL and its number of
-    words as place. row tells rows apart that share a doc_id; it follows from the input split, so a retry repeats it."""
+    words as place. row tells rows apart that share a doc_id: the number of the input split and the place in it, which a
+    task that is run again finds again in files and written tables. Nothing outside of one query knows these numbers."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
@@ -110,6 +144,35 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str]], phrase
     return spark.createDataFrame(rows, "k int, hash long, check long, template int, label string, base boolean, at int, size int")
 
 
+def runs(places: list[int], ats: list[int], k: int) -> list[tuple[int, int, int, int]]:
+    """(first word, end, grams, words of the template covered) of each span among an alignment's grams (place in the
+    document, position in the template), given in any order.
+
+    Grams are taken in the order of the document. One continues a span if it lies further on in the template than the
+    span's last and their diagonals differ by DRIFT at most; it joins the span it fits with the smallest drift, the later
+    one among equals, and begins a span of its own if there is none. A template's positions only rise within a span, so a
+    span is about as long as its template at most.
+    """
+    open_: list[list[int]] = []  # first place, last place, last position, grams, covered
+    done = []
+    for p, a in sorted(zip(places, ats, strict=True)):
+        best = None
+        for x in open_:
+            drift = abs((p - a) - (x[1] - x[2]))
+            if a > x[2] and p > x[1] and drift <= DRIFT and (best is None or drift <= best[0]):
+                best = drift, x
+        if best is None:
+            open_.append([p, p, a, 1, k])
+        else:
+            x = best[1]
+            x[4] += min(k, a - x[2])
+            x[1], x[2], x[3] = p, a, x[3] + 1
+        if len(open_) > 64:  # spans that lie further back than any gram reaches
+            far = [x for x in open_ if p - x[1] > max(ats) + DRIFT]
+            done, open_ = done + far, [x for x in open_ if p - x[1] <= max(ats) + DRIFT]
+    return [(x[0], x[1] + k, x[3], x[4]) for x in done + open_]
+
+
 def spans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:
     """(doc_id, row, template, label, base, first_word, last_word, votes, covered) for verified spans, and a line with
     template -1 and the number of words as votes for every row."""
@@ -117,35 +180,32 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases
     hits = rolling(docs).join(F.broadcast(known), ["k", "hash", "check"])
     # A diagonal's votes are combined before they move; nothing but matches moves at all.
     sums = hits.groupBy("doc_id", "row", "template", "label", "base", "size", "k", (F.col("place") - F.col("at")).alias("diagonal"))
-    lines = sums.agg(
-        F.count(F.lit(1)).alias("votes"),
-        F.min("place").alias("first"),
-        (F.max("place") + F.max("k")).alias("end"),
-        F.collect_set("at").alias("ats"),  # at most the template's grams
-    )
+    lines = sums.agg(F.collect_list("at").alias("ats"), F.max(F.when(F.col("template") < 0, F.col("place"))).alias("words"))  # at most the template's grams
     by_template = Window.partitionBy("doc_id", "row", "template")
     apart = F.when(F.col("base"), 0).otherwise(DRIFT)
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_template.orderBy("diagonal")) > apart, F.lit(True))
     merged = lines.withColumn("fresh", fresh.cast("int")).withColumn(
         "alignment", F.sum("fresh").over(by_template.orderBy("diagonal").rowsBetween(Window.unboundedPreceding, 0))
     )
+    place = F.transform("ats", lambda a: a + F.col("diagonal"))
     found = merged.groupBy("doc_id", "row", "template", "label", "base", "size", "k", "alignment").agg(
-        F.sum("votes").alias("votes"),
-        F.min("first").alias("first_word"),
-        F.max("end").alias("end"),
-        F.flatten(F.collect_list("ats")).alias("ats"),
+        F.flatten(F.collect_list("ats")).alias("ats"), F.flatten(F.collect_list(place)).alias("places"), F.max("words").alias("words")
     )
-    words = F.array_distinct(F.flatten(F.transform("ats", lambda p: F.sequence(p, p + F.col("k") - 1))))
-    covered = F.when(F.col("template") < 0, F.lit(0.0)).otherwise(F.size(words) / F.col("size"))
-    total = F.col("template") < 0
-    return (
-        found.withColumn("covered", covered)
-        .where(total | F.when(F.col("base"), F.col("covered") >= 1.0).otherwise(F.col("covered") >= COVERED))
-        .select(
-            "doc_id", "row", "template", "label", "base", F.when(~total, F.col("first_word")).alias("first_word"),
-            F.when(~total, F.col("end") - 1).alias("last_word"), F.when(total, F.col("first_word")).otherwise(F.col("votes")).alias("votes"), "covered",
-        )
-    )
+
+    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            out = []
+            for r in b.to_pylist():
+                if r["template"] < 0:
+                    out.append((r["doc_id"], r["row"], -1, "", False, None, None, r["words"], 0.0))
+                    continue
+                for first, end, votes, covered in runs(r["places"], r["ats"], r["k"]):
+                    if covered >= r["size"] * (1.0 if r["base"] else COVERED):
+                        out.append((r["doc_id"], r["row"], r["template"], r["label"], r["base"], first, end - 1, votes, min(1.0, covered / r["size"])))
+            columns = zip(*out, strict=True) if out else [[]] * len(SPANS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SPANS.types, strict=True)], schema=SPANS)
+
+    return found.mapInArrow(verify, SPANS_DDL)
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:
@@ -159,13 +219,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
         spans(docs, templates, phrases)
         .groupBy("doc_id", "row")
         .agg(
-            F.max(F.when(total, F.col("votes"))).cast("long").alias("n_words"),
-            F.count(F.when(base, 1)).cast("long").alias("n_base"),
-            F.min(F.when(base, F.col("first_word"))).cast("long").alias("first_word"),
-            F.max(F.when(base, F.col("first_word"))).cast("long").alias("last_word"),
+            F.max(F.when(total, F.col("votes"))).alias("n_words"),
+            F.count(F.when(base, 1)).alias("n_base"),
+            F.min(F.when(base, F.col("first_word"))).alias("first_word"),
+            F.max(F.when(base, F.col("first_word"))).alias("last_word"),
             labels(base).alias("base_labels"),
             labels(~total).alias("labels"),
-            F.least(F.max("covered"), F.lit(1.0)).alias("score"),
+            F.max("covered").alias("score"),
         )
         .drop("row")
     )

@@ -1,8 +1,9 @@
 """Lines that a site repeats on most of its pages: dropped by site-relative frequency.
 
 Pages are grouped by host. A line counts once for each page that has it; a line is boilerplate on its host if more than
-``ratio`` of the host's pages have it and at least ``least_pages`` do. Counts are combined before they move. A host has
-less than (lines of an average page) / ratio boilerplate lines, so a host's list of them is small, whatever its size.
+``ratio`` of the host's pages have it. A line of a single page is repeated by none, so it is no boilerplate, whatever the
+size of the site: the only page of a host keeps all its lines. Counts are combined before they move. A host has less
+than (lines of an average page) / ratio boilerplate lines, so a host's list of them is small, whatever its size.
 
 A page's lines are those of its text: comments, scripts and styles go, block-level tags and line ends part lines, other tags
 go, and the commonest entities are resolved.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from semlake.llm.common import join_hot, table
 
-RATIO, LEAST_PAGES = 0.3, 3
+RATIO = 0.3
 HIDDEN = r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>"
 BLOCK = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header"
@@ -56,21 +57,21 @@ def split_pages(pages: DataFrame) -> DataFrame:
     return table(pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines")), "lines")
 
 
-def boilerplate(split: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> tuple[DataFrame, int]:
+def boilerplate(split: DataFrame, ratio: float = RATIO) -> tuple[DataFrame, int]:
     """(host, pages, marks): the marks of each host's boilerplate lines (null for none); and the number of all pages."""
     marks = F.transform(F.array_distinct("lines"), mark)
     each = split.select("host", F.explode_outer(marks).alias("mark")).where("mark is not null")
     totals = table(split.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
-    counts = each.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    counts = each.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     often = counts.join(totals, "host").where(F.col("n") > F.col("pages") * ratio)
     marked = totals.join(often.groupBy("host").agg(F.collect_list("mark").alias("marks")), "host", "left")
     return table(marked, "boilerplate"), totals.agg(F.sum("pages")).first()[0] or 0
 
 
-def drop_repeated_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_repeated_lines(pages: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) for every page."""
     split = split_pages(pages)
-    hosts, total = boilerplate(split, ratio, least_pages)
+    hosts, total = boilerplate(split, ratio)
     kept = F.filter("lines", lambda x: ~F.array_contains("marks", mark(x)))
     kept = F.when(F.col("marks").isNull(), F.col("lines")).otherwise(kept)
     none = F.col("lines").isNull()
@@ -81,7 +82,7 @@ def drop_repeated_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int
     )
 
 
-def oracle(ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> str:
+def oracle(ratio: float = RATIO) -> str:
     text = f"regexp_replace(regexp_replace(regexp_replace(html, '{HIDDEN}', '', 'g'), '{BLOCK}', chr(10), 'g'), '{TAG}', '', 'g')"
     for entity, plain in ENTITIES:
         text = f"replace({text}, '{entity}', '{plain}')"
@@ -94,7 +95,7 @@ def oracle(ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> str:
     b AS (SELECT * FROM l WHERE line <> ''),
     n AS (SELECT host, line, count(DISTINCT r) AS n FROM b GROUP BY ALL),
     t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-    bad AS (SELECT host, line FROM n JOIN t USING (host) WHERE n >= {least_pages} AND n > pages * {ratio}),
+    bad AS (SELECT host, line FROM n JOIN t USING (host) WHERE n > 1 AND n > pages * {ratio}),
     k AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n_kept FROM b ANTI JOIN bad USING (host, line) GROUP BY r),
     a AS (SELECT r, count(*) AS n_lines FROM b GROUP BY r)
     SELECT page_id, host, coalesce(n_lines, 0) AS n_lines, coalesce(n_lines, 0) - coalesce(n_kept, 0) AS n_dropped,

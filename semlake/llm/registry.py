@@ -36,7 +36,7 @@ def queries() -> dict[str, Query]:
         "op6_simhash_near_dedup": on("documents", simhash.near_duplicates),
         "op7_token_counts": on("documents", lambda d: tokens.length_histogram(d, tokens.default_vocabulary())),
         "op8_preference_format": on(
-            "conversations", lambda c: chat_format.digest(chat_format.format_preferences(chat_format.neighbours_as_pairs(c)))
+            "conversations", lambda c: chat_format.digest(chat_format.formatted(chat_format.replies_as_pairs(c)))
         ),
         "op9_site_line_dedup": on("pages", line_dedup.drop_repeated_lines),
         "op10_toxicity": toxicity_scores,

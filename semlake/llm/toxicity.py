@@ -10,8 +10,10 @@ Features are the presence, repetition and frequent repetition of words and of wo
 about as often in positive as in unlabelled texts are left out. Scores see nothing but the text.
 
 Defined results: a null or empty text gets the score of a text without features; rows are scored one by one, so repeated
-rows get equal scores; labels with a null doc_id or a null class are ignored, repeated ones count once (1 wins); without
-any confirmed toxic text every score is 0; other columns, whatever their names, play no part.
+rows get equal scores; a row with a null doc_id is not held out (it has no remainder) and is scored, but never trained on;
+rows that share doc_id and text are one training text; labels with a null doc_id or a null class are ignored, repeated ones
+count once (1 wins); without any confirmed toxic text every score is 0; an empty table has an empty result; other columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semlake.llm import textblock
+from semlake.llm.common import table
 
-#: Bounds of the training sample: confirmed toxic texts, unlabelled texts, and the longest text (in characters) it takes.
-POSITIVES, UNLABELLED, LONGEST = 3000, 6000, 20_000
+#: Bounds of the training sample: confirmed toxic texts and unlabelled texts, of any length.
+POSITIVES, UNLABELLED = 3000, 6000
 #: Hashed features; beginnings of words in bytes.
 DIMENSIONS = 1 << 19
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -150,14 +153,18 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not toxic:
         return Model(np.zeros(FEATURES), 0.0, trained=False)
     prior = min(0.5, max(0.001, toxic / n)) if toxic < n else PRIOR
-    texts = docs.select("doc_id", "text").where(
-        F.col("doc_id").isNotNull() & (F.length("text") <= LONGEST) & ~held_out(F.col("doc_id"))
-    )
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     toss = F.xxhash64(F.lit(29), "doc_id")
-    # Both samples are the rows with the smallest hashes, so they are the same in every run; at most so many ids.
+    # Both samples are the rows with the smallest hashes, so they are the same in every run: at most so many ids first, and
+    # of the rows with these ids at most so many texts, as any number of rows may share an id.
     some_p = known.where("toxic = 1").orderBy(toss, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("y"))
     some_u = texts.select("doc_id").distinct().orderBy(toss, "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("y"))
     ids = some_p.unionByName(some_u).groupBy("doc_id").agg(F.max("y").alias("y"))
+    own = table(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text", F.xxhash64("text").alias("key")), "sample")
+    held = own.select("doc_id", "key", "y").distinct()
+    chosen = [held.where(F.col("y") == y).orderBy(toss, "doc_id", "key").limit(n) for y, n in ((1, positives), (0, unlabelled))]
+    chosen = chosen[0].unionByName(chosen[1]).drop("y")
+    sample = own.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -168,12 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), found], names=["y", "key", "features"])
 
     # Ordered by content, as rows arrive in any order.
-    rows = (
-        texts.join(F.broadcast(ids), "doc_id")
-        .select("y", "text", F.xxhash64("text").alias("key"))
-        .mapInArrow(run, "y int, key long, features array<int>")
-        .toArrow()
-    )
+    rows = sample.select("y", "text", "key").mapInArrow(run, "y int, key long, features array<int>").toArrow()
     order = np.lexsort([rows.column("key").to_numpy(), rows.column("y").to_numpy()])
     y = rows.column("y").to_numpy()[order]
     parts = [c for c in rows.column("features").chunks if len(c)]

@@ -370,6 +370,67 @@ def test_license_scan(spark):
     assert all(set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) for r in got if r["base_labels"])
 
 
+def brute_labels(text):
+    """Labels and score, place by place: spans of a template's five-word grams in order, whose drift from one gram to the
+    next is small, found by trying every gram of the text against every span that is still open."""
+    words = license_scan.words_of(text or "")
+    score, labels = (1.0, set()) if brute_scan(text)[1] else (0.0, set())
+    labels |= set(brute_scan(text)[4].split(",")) - {""}
+    for label, template in license_scan.TEMPLATES:
+        t = license_scan.words_of(template)
+        at = collections.defaultdict(list)
+        for j in range(len(t) - 4):
+            at[tuple(t[j : j + 5])].append(j)
+        hits = [(i, j) for i in range(len(words) - 4) for j in at.get(tuple(words[i : i + 5]), ())]
+        open_ = []
+        for i, j in hits:
+            fit = [(abs((i - j) - (s[-1][0] - s[-1][1])), -n) for n, s in enumerate(open_) if j > s[-1][1] and i > s[-1][0]]
+            fit = [f for f in fit if f[0] <= license_scan.DRIFT]
+            if fit:
+                open_[-min(fit)[1]].append((i, j))
+            else:
+                open_.append([(i, j)])
+        for s in open_:
+            share = len({j + d for _, j in s for d in range(5)}) / len(t)
+            if share >= license_scan.COVERED:
+                labels.add(label)
+                score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_against_brute_force(spark):
+    """Whole paragraphs, with words changed, lost, added, out of order, far apart and repeated, within other text."""
+    toss = random.Random(11)
+    noise = lambda n: toss.choices("river stone calendar license software the of and free".split(), k=n)
+    texts = [None, "", "x"]
+    for _, template in license_scan.TEMPLATES:
+        w = license_scan.words_of(template)
+        texts.append(" ".join(noise(9) + w + noise(5)))
+        changed = [x for x in w]
+        for at in toss.sample(range(len(w)), max(1, len(w) // 12)):
+            changed[at] = toss.choice(["", "foo", changed[at] + " bar baz"])
+        texts.append(" ".join(noise(3) + changed + noise(200)))
+        half = len(w) // 2
+        texts.append(" ".join(w[half:] + noise(4) + w[:half]))  # out of order
+        texts.append(" ".join(w[:half] + noise(400) + w[half:]))  # far apart
+        texts.append(" ".join(w[: half + 2] + noise(3) + w[half:]) + " " + " ".join(w * 3))
+    whole = " ".join(t for _, t in license_scan.TEMPLATES)
+    texts += [whole, whole.upper() * 2, " ".join(noise(3000)) + whole]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(documents(spark, rows)).collect()}
+    for i, t in enumerate(texts):
+        labels, score = brute_labels(t)
+        assert got[i] == (labels, pytest.approx(score)), t
+    assert len(got) == len(texts) and sum(x[0] != "" for x in got.values()) > 40
+
+
+def test_license_spans_keep_the_templates_order():
+    forward = ([10, 11, 14, 15], [0, 1, 2, 3])  # two words added
+    assert license_scan.runs(*forward, 5) == [(10, 20, 4, 8)]
+    assert sorted(license_scan.runs([10, 11, 12], [2, 1, 0], 5)) == [(10, 15, 1, 5), (11, 16, 1, 5), (12, 17, 1, 5)]
+    assert sorted(license_scan.runs([0, 500], [0, 3], 5)) == [(0, 5, 1, 5), (500, 505, 1, 5)]
+
+
 # ---- toxicity
 
 
@@ -396,6 +457,95 @@ def test_toxicity_edges(spark):
     assert toxicity.drop_toxic(documents(spark), model).columns == documents(spark).columns
 
 
+def brute_features(text):
+    """The same features, word by word: a hash of whole words and of their beginnings, once for each number reached."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & m
+        return x ^ x >> 31
+
+    def hashed(b):
+        return sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(b)) & m
+
+    n = collections.Counter()
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower()):
+        n[mix(hashed(w)) % toxicity.DIMENSIONS] += 1
+        for size in toxicity.BEGINNINGS:
+            if len(w) > size:
+                n[mix(hashed(w[:size]) + size & m) % toxicity.DIMENSIONS] += 1
+    return {b + t * toxicity.DIMENSIONS for b, k in n.items() for t, least in enumerate(toxicity.TIERS) if k >= least}
+
+
+def brute_model(positive, unlabelled, prior):
+    """Weights by feature and the bias, with whole matrices: the corrected risk and its gradient as the papers give them."""
+    names = sorted(set().union(*positive, *unlabelled))
+    x = np.array([[f in t for f in names] for t in positive + unlabelled], float)
+    n_p, n_u = len(positive), len(unlabelled)
+    in_p, in_u = x[:n_p].sum(axis=0), x[n_p:].sum(axis=0)
+    share = (in_p + in_u) / (n_p + n_u)
+    z = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-9)
+    keep = (abs(z) >= 4) & (in_p + in_u >= 4)
+    x = x[:, keep]
+    total_w, total_b = np.zeros(x.shape[1]), 0.0
+    for m in range(3):
+        rng = np.random.default_rng(5 + m)
+        w, b, gw, gb = np.zeros(x.shape[1]), np.log(prior / (1 - prior)), np.full(x.shape[1], 1e-4), 1e-4
+        for _ in range(40):
+            p, u = x[rng.permutation(n_p)], x[n_p + rng.permutation(n_u)]
+            sp, su = (1 / (1 + np.exp(-(y @ w + b))) for y in (p, u))
+            # Risks with the logistic loss, and their slopes by the linear score of each text.
+            rest = np.mean(-np.log(1 - su)) - prior * np.mean(-np.log(1 - sp))
+            rest_p, rest_u = -prior * sp / n_p, su / n_u
+            slope_p, slope_u = (-rest_p, -rest_u) if rest < 0 else (prior * (sp - 1) / n_p + rest_p, rest_u)
+            g, h = slope_p @ p + slope_u @ u + 1e-4 * w, slope_p.sum() + slope_u.sum()
+            gw, gb = gw + g * g, gb + h * h
+            w, b = w - 0.3 * g / np.sqrt(gw), b - 0.3 * h / np.sqrt(gb)
+        total_w, total_b = total_w + w / 3, total_b + b / 3
+    return dict(zip(np.array(names)[keep].tolist(), total_w, strict=True)), total_b
+
+
+def test_toxicity_against_brute_force(spark):
+    """Training and every score, from features counted word by word and whole matrices."""
+    toss = random.Random(3)
+    bad = ["vile", "worthless", "filthyscum", "hateful"]
+    rows = []
+    for i in range(160):
+        text = [" ".join(toss.choices(["river", "stone", "calendar", "Ünïcödé", "walk", "x1"], k=12))]
+        text += toss.choices(bad, k=toss.randint(2, 7)) if i % 4 == 0 else []
+        rows.append((i, " ".join(text), "en", "s", 1))
+    rows += [(1, rows[1][1], "xx", None, 2), (None, "vile vile vile", None, None, 1), (900, None, None, None, 1), (901, "", None, None, 1), (904, "stone " * 9000 + "vile " * 900, "en", "s", 1)]
+    labels = [(i, int(i % 4 == 0)) for i in range(0, 160, 2)] + [(904, 1)]
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    known = {i: y for i, y in labels if not out(i)}
+    texts = sorted({(int(known.get(r[0], 0) == 1), xxhash.xxh64_intdigest((r[1] or "").encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest((r[1] or "").encode(), 42) >> 63) if r[1] is not None else 42, r[0], r[1] or "") for r in rows if r[0] is not None and not out(r[0])})
+    positive = [brute_features(t[3]) for t in texts if t[0]]
+    unlabelled = [brute_features(t[3]) for t in texts if not t[0]]
+    weight, bias = brute_model(positive, unlabelled, sum(known.values()) / len(known))
+    assert len(positive) > 10 and 904 in known and len(weight) > 5
+    got = toxicity.scores(docs, model).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for r in rows:
+        s = 1 / (1 + np.exp(-(sum(weight.get(f, 0.0) for f in brute_features(r[1])) + bias)))
+        want[r[0]] = s
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-4) and r.predicted == (r.score >= 0.7) and r.held_out == out(r.doc_id)
+    assert max(want.values()) > 0.7 > min(want.values())
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    rows = [(i, f"text {n} of {i}", "en", "s", 1) for n in range(100) for i in range(20)]
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(20)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda p, u, *a: seen.append((len(p), len(u))))
+    toxicity.train(documents(spark, rows), labels, positives=10, unlabelled=7)
+    assert seen == [(10, 7)]
+
+
 # ---- all of them
 
 

@@ -145,6 +145,8 @@ def test_line_dedup(spark):
     html = "<html><head><title>T &amp;lt; &copy;</title><STYLE>p{}</STYLE><script>var t='</p>';\nx</script></head><!-- <p>no</p>\n --><p>a <b>b</b><br/>c"
     assert pages(spark, [(1, "", html, 1)]).select(line_dedup.lines_of(F.col("html"))).first()[0] == ["T &lt; ©", "a b", "c"]
     assert line_dedup.drop_repeated_lines(pages(spark, [])).collect() == []
+    two = [(1, "http://x.de/1", "a\nb", 1), (2, "http://x.de/2", "a\nc", 1), (3, "http://y.de/1", "a\nb", 1)]
+    assert sorted((r.page_id, r.text) for r in line_dedup.drop_repeated_lines(pages(spark, two)).collect()) == [(1, "b"), (2, "c"), (3, "a\nb")]
 
 
 def test_line_dedup_plan_is_native(spark):
@@ -164,17 +166,39 @@ TURNS = [
 ]
 
 
+def neighbours(conversations):
+    """Conversations 2n and 2n + 1 as a pair whose even one is chosen."""
+    return conversations.withColumns({"pair_id": F.floor(F.col("conv_id") / 2), "chosen": F.pmod("conv_id", F.lit(2)) == 0})
+
+
 def test_preferences(spark):
     turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumns({"c": F.lit(1), "n_common": F.lit(2)})
-    made = chat_format.format_preferences(chat_format.neighbours_as_pairs(turns))
-    got = [r.asDict() for r in chat_format.digest(made).collect()]
-    same(got, oracle(chat_format.ORACLE, conversations=turns))
+    made = chat_format.format_preferences(neighbours(turns))
     one = next(r for r in made.collect() if r.pair_id == 0)
     assert one.n_common == 3 and one.prompt.count("<|user|>") == 2
     assert [tuple(s) for s in one.rejected] == [("<|assistant|>\nnö ☃𝔘\n", True), ("<|user|>\n?\n", False)]
     assert next(r for r in made.collect() if r.pair_id == 3).chosen == []
     assert next(r for r in made.collect() if r.pair_id == 2).rejected is None
-    assert chat_format.digest(chat_format.format_preferences(chat_format.neighbours_as_pairs(turns.limit(0)))).collect() == []
+    assert chat_format.digest(chat_format.format_preferences(neighbours(turns.limit(0)))).collect() == []
+
+
+def test_preferences_from_replies(spark):
+    """Conversations that share their prompt with a rejected copy, among them repeated turns, nulls and missing replies."""
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumns({"c": F.lit(1), "o": F.lit(2)})
+    made = chat_format.formatted(chat_format.replies_as_pairs(turns))
+    got = [r.asDict() for r in chat_format.digest(made).collect()]
+    same(got, oracle(chat_format.ORACLE, conversations=turns))
+    by_id = {r["pair_id"]: r for r in got}
+    assert set(by_id) == {t[0] for t in TURNS if t[0] is not None}
+    assert by_id[0]["n_common"] == 3 and by_id[0]["chosen"] == "<|assistant|>\nyes\n" and by_id[0]["rejected"] == "<|assistant|>\nnö ☃𝔘\n"
+    assert by_id[1]["chosen_mask"] == "0:20" and by_id[1]["prompt"] == by_id[0]["prompt"]
+    assert by_id[2]["rejected"] is None and by_id[11]["rejected"] is None
+    root = "/root/testdata/sf0.001"
+    own = spark.read.parquet(f"{root}/conversations.parquet")
+    got = chat_format.digest(chat_format.formatted(chat_format.replies_as_pairs(own))).collect()
+    same([r.asDict() for r in got], oracle(chat_format.ORACLE, conversations=own))
+    assert sum(r.n_common > 0 for r in got) > len(got) / 2
+    assert chat_format.formatted(chat_format.replies_as_pairs(turns.limit(0))).collect() == []
 
 
 # ---- the checkpoint folder
