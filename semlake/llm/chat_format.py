@@ -68,8 +68,8 @@ def formatted(pairs: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
 
 def replies_as_pairs(conversations: DataFrame, role: str = TRAINED_ROLE) -> DataFrame:
     """(pair_id, c, r) for a table without preferences of its own: every conversation is chosen; rejected are its turns
-    before its last reply (turn of that role), followed by the reply that its neighbour (2n for 2n + 1, and the other way
-    round) gives at that turn. Without such a reply, nothing is rejected."""
+    before its last reply (turn of that role), followed by the last reply of its neighbour (2n for 2n + 1, and the other way
+    round). Where either has no reply, nothing is rejected."""
     one = F.struct("turn", "role", "text")
     mine = F.struct(F.col("conv_id").alias("pair_id"), F.lit(True).alias("own"))
     theirs = F.when(F.col("role") == role, F.struct(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.lit(False).alias("own")))
@@ -80,8 +80,8 @@ def replies_as_pairs(conversations: DataFrame, role: str = TRAINED_ROLE) -> Data
     )
     last = F.array_max(F.transform(F.filter("c", lambda t: t["role"] == role), lambda t: t["turn"]))
     sides = sides.where(F.size("c") > 0).withColumn("last", last)
-    reply = F.filter("o", lambda t: t["turn"] == F.col("last"))
-    sides = sides.withColumn("reply", F.coalesce(reply, F.slice("o", 1, 0)))
+    reply = F.filter("o", lambda t: t["turn"] == F.array_max(F.transform("o", lambda t: t["turn"])))
+    sides = sides.withColumn("reply", F.when(F.col("last").isNotNull(), reply).otherwise(F.slice("o", 1, 0)))
     before = F.filter("c", lambda t: t["turn"] < F.col("last"))
     return sides.select("pair_id", "c", F.when(F.size("reply") > 0, F.concat(before, "reply")).otherwise(F.slice("c", 1, 0)).alias("r"))
 
@@ -113,7 +113,8 @@ def digest(pairs: DataFrame) -> DataFrame:
 ORACLE = """
     WITH o AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
     la AS (SELECT conv_id, max(turn) AS la FROM o WHERE role = 'assistant' GROUP BY conv_id),
-    y AS (SELECT la.conv_id AS pair_id, turn, role, text FROM o JOIN la ON xor(o.conv_id, 1) = la.conv_id AND turn = la AND role = 'assistant'),
+    y AS (SELECT l.conv_id AS pair_id, l.la AS turn, o.role, o.text FROM la l JOIN la n ON n.conv_id = xor(l.conv_id, 1) AND l.la IS NOT NULL
+          JOIN o ON o.conv_id = n.conv_id AND o.turn = n.la AND o.role = 'assistant'),
     x AS (SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM o UNION ALL SELECT pair_id, 1, turn, role, text FROM y UNION ALL
           SELECT conv_id, 1, turn, role, text FROM o JOIN la USING (conv_id) WHERE turn < la AND conv_id IN (SELECT pair_id FROM y)),
     t AS (SELECT pair_id, side, role, text, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS s,
