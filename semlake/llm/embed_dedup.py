@@ -34,8 +34,8 @@ COSINE = 0.9
 #: Bytes of the sample that centres are fitted on, as 32-bit components, and vectors of it for each cell.
 SAMPLE_BYTES, A_CELL = 64 << 20, 8
 #: Share of pairs at the threshold itself that cells may miss, by the measurement on the sample; pairs above it are closer.
-MISSED = 0.001
-#: Bytes of a block's unit vectors; a cell is home to about a quarter of a block, as others' vectors are shown to it too.
+MISSED = 0.01
+#: Bytes of a block's unit vectors.
 BLOCK_BYTES = 8 << 20
 #: Cosines computed at a time.
 STEP = 1 << 22
@@ -153,7 +153,7 @@ def unit_links(
     return linked, count[linked], label[linked]
 
 
-def fitted(some: pa.Table, step: int, cosine: float, slack: float | None, block_bytes: int) -> dict[int, tuple[np.ndarray, float]]:
+def fitted(some: pa.Table, step: int, cosine: float, slack: float | None) -> dict[int, tuple[np.ndarray, float]]:
     """(centres, slack) for each dimension in the sample, of which every vector stands for ``step``."""
     column = some.column("v").combine_chunks()
     sizes, flat = pc.list_value_length(column).to_numpy(), column.flatten().to_numpy()
@@ -162,8 +162,7 @@ def fitted(some: pa.Table, step: int, cosine: float, slack: float | None, block_
     for size in np.unique(sizes).tolist():
         x = flat[first[sizes == size][:, None] + np.arange(size)]
         x = unit(x[np.lexsort(x.T)].astype(np.float64))  # rows arrive in any order
-        home_to = max(1, block_bytes // (8 * size) // 4)
-        centres = fit_centres(x, max(1, min(-(-len(x) * step // home_to), len(x) // A_CELL)))
+        centres = fit_centres(x, max(1, min(round((len(x) * step) ** 0.5), len(x) // A_CELL)))
         known[size] = centres, needed_slack(x, centres, cosine) if slack is None else slack
     return known
 
@@ -186,7 +185,7 @@ def near_duplicates(
     some = some.select(F.transform("v", lambda x: x.cast("float")).alias("v")).where(usable(F.col("v"))).limit(2 * total // step + 100).toArrow()
     if not total:
         return _finish(vectors, rows, equal, None)
-    known = fitted(some, step, cosine, slack, block_bytes)
+    known = fitted(some, step, cosine, slack)
     del some
     kind = np.float32 if small else np.float64
 
