@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semlake.plans import algebra as A
-from semlake.plans.compile import Collection, evaluate
+from semlake.plans.compile import Collection, memberships
 
 PAD = 4096
 TIERS = ("pin", "prefer", "replicate", "auto-tier")  # by precedence
@@ -113,13 +113,13 @@ def release(index: DataFrame, released: DataFrame) -> DataFrame:
 
 def place(c: Collection, rules: Sequence[tuple[str, str, A.Query]], default: str) -> DataFrame:
     """(oid, rule, target) for every tagged object: the rule (kind, target, query) of the highest precedence that holds,
-    the earlier one among equals, else the default."""
-    every = evaluate(A.Not(A.Or()), c)
-    found = every.select("oid", F.lit(len(TIERS)).alias("rank"), F.lit(len(rules)).alias("nth"), F.lit("default").alias("rule"), F.lit(default).alias("target"))
-    for n, (kind, target, query) in enumerate(rules):
-        found = found.unionByName(evaluate(query, c).select("oid", F.lit(TIERS.index(kind)).alias("rank"), F.lit(n).alias("nth"), F.lit(kind).alias("rule"), F.lit(target).alias("target")))
-    first = found.groupBy("oid").agg(F.min_by(F.struct("rule", "target"), F.struct("rank", "nth")).alias("r"))
-    return first.join(every, "oid", "left_semi").select("oid", "r.rule", "r.target")
+    the earlier one among equals, else the default. All rules are flags of one pass over the assertions."""
+    order = sorted(range(len(rules)), key=lambda n: (TIERS.index(rules[n][0]), n))
+    found = memberships([A.Not(A.Or()), *[rules[n][2] for n in order]], c).where("q0")
+    first: Column = F.struct(F.lit("default").alias("rule"), F.lit(default).alias("target"))
+    for i, n in reversed(list(enumerate(order))):
+        first = F.when(F.col(f"q{i + 1}"), F.struct(F.lit(rules[n][0]).alias("rule"), F.lit(rules[n][1]).alias("target"))).otherwise(first)
+    return found.select("oid", first.alias("r")).select("oid", "r.rule", "r.target")
 
 
 def pool_status(disks: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semlake.functions.values import VALUE_COLUMNS, VALUE_SCHEMA
-from semlake.operators.ontology import Ontology, materialise
+from semlake.operators.ontology import Ontology
 from semlake.plans.compile import Collection
 
 KINDS = ("create", "delete", "add_tag", "remove_tag", "set_attr", "remove_attr", "add_relation", "remove_relation", "write_blob")
@@ -90,11 +90,29 @@ def live_ops(ops: DataFrame) -> DataFrame:
     return once.join(once.where("op = 'delete'").select("oid").distinct(), "oid", "left_anti")
 
 
+def last_tag_ops(ops: DataFrame) -> DataFrame:
+    """(oid, tag, op, at): the last operation on each tag of each object, and its position."""
+    own = ops.where(F.col("op").isin("add_tag", "remove_tag"))
+    return own.groupBy("oid", "tag").agg(F.max_by("op", position()).alias("op"), F.max(position()).alias("at"))
+
+
 def direct_tags(ops: DataFrame) -> DataFrame:
     """(oid, tag) that are set at the end of the log: the last operation on each decides."""
-    own = ops.where(F.col("op").isin("add_tag", "remove_tag"))
-    last = own.groupBy("oid", "tag").agg(F.max_by("op", position()).alias("op"))
-    return last.where("op = 'add_tag'").select("oid", "tag")
+    return last_tag_ops(ops).where("op = 'add_tag'").select("oid", "tag")
+
+
+def tags(ops: DataFrame, ontology: Ontology) -> DataFrame:
+    """(oid, tag, origin) at the end of the log, with implied tags. One that was removed by itself stays away until a tag
+    that implies it is set again."""
+    last = last_tag_ops(ops)
+    closure = ontology.closure_table(ops.sparkSession)
+    added = last.where("op = 'add_tag'").join(closure, "tag", "left").select(
+        "oid", F.coalesce("ancestor", "tag").alias("ancestor"), F.coalesce(F.col("ancestor") == F.col("tag"), F.lit(True)).alias("direct"), "at", F.lit(None).cast("struct<physical_ns:bigint,logical:int,node:int,lsn:bigint>").alias("gone")
+    )
+    gone = last.where("op = 'remove_tag'").select("oid", F.col("tag").alias("ancestor"), F.lit(False).alias("direct"), F.lit(None).cast(added.schema["at"].dataType).alias("at"), F.col("at").alias("gone"))
+    held = added.unionByName(gone).groupBy("oid", F.col("ancestor").alias("tag")).agg(F.bool_or("direct").alias("direct"), F.max("at").alias("at"), F.max("gone").alias("gone"))
+    there = held.where(F.col("at").isNotNull() & (F.col("direct") | F.col("gone").isNull() | (F.col("at") > F.col("gone"))))
+    return there.select("oid", "tag", F.when(F.col("direct"), "direct").otherwise("materialized").alias("origin"))
 
 
 def attributes(ops: DataFrame) -> DataFrame:
@@ -128,14 +146,15 @@ def objects(ops: DataFrame) -> DataFrame:
 def fold(ops: DataFrame, ontology: Ontology) -> Collection:
     """The collection that the log leads to."""
     live = live_ops(ops)
-    return Collection(materialise(direct_tags(live), ontology), attributes(live), relations(live), ontology, objects(ops))
+    return Collection(tags(live, ontology), attributes(live), relations(live), ontology, objects(ops))
 
 
 def add_closure(tags: DataFrame, oid: int, tag: str, ontology: Ontology) -> DataFrame:
-    """tags (oid, tag, origin) after one tag is set on one object."""
+    """tags (oid, tag, origin) after one tag is set on one object; the other objects' rows stay where they are."""
     spark = tags.sparkSession
     new = spark.createDataFrame([(oid, t, "direct" if t == tag else "materialized") for t in sorted(ontology.closure(tag))], "oid long, tag string, origin string")
-    return tags.unionByName(new).groupBy("oid", "tag").agg(F.min("origin").alias("origin"))  # direct wins
+    own = tags.where(F.col("oid") == oid).unionByName(new).groupBy("oid", "tag").agg(F.min("origin").alias("origin"))  # direct wins
+    return tags.where(F.col("oid") != oid).unionByName(own)
 
 
 def remove_cascade(tags: DataFrame, oid: int, tag: str, ontology: Ontology) -> DataFrame:

@@ -1,18 +1,21 @@
-"""Compilation of the algebra: one scan of the assertions, one aggregation by object.
+"""Compilation of the algebra: filtered scans of the assertions, one aggregation by object.
 
 Every distinct leaf becomes a flag, whether any assertion of the object satisfies it; And, Or and Not combine flags after
-the aggregation. So two comparisons of one key may hold for different values of the object, an empty And is empty, and a
+the aggregation. Leaves filter the assertions of their kind where these are read: a source that gives each key and each
+relation as a branch of its own (``sources.tables``) reads no column but the one asked for, and its scan takes the filter. So two comparisons of one key may hold for different values of the object, an empty And is empty, and a
 complement is taken against the objects that have a tag.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semlake.functions.values import TYPES, VALUE_COLUMNS, Value
+from semlake.functions.values import TYPES, VALUE_COLUMNS, Value, local_of
 from semlake.operators.ontology import Ontology
 from semlake.plans import algebra as A
 from semlake.plans.sql import PlannedQuery
@@ -21,7 +24,8 @@ from semlake.plans.sql import PlannedQuery
 @dataclass
 class Collection:
     """Assertions of objects, narrow: tags (oid, tag, origin) with implied ones, attrs (oid, key, v_...), rels (oid,
-    predicate, target), and objects (oid, state, ...) where records are kept."""
+    predicate, target; target_local, the target without its node, where the source can filter by it), and objects (oid,
+    state, ...) where records are kept."""
 
     tags: DataFrame
     attrs: DataFrame | None = None
@@ -90,7 +94,9 @@ class Flags:
             below = (F.col("v_text") == path) | F.col("v_text").startswith(path + "/")
             return self.leaf(("under", q.key, path, q.context), "attr", (F.col("name") == q.key) & (F.col("v_type") == "text") & context & below)
         if isinstance(q, A.Related):
-            return self.leaf(("rel", q.predicate, q.target), "rel", (F.col("name") == q.predicate) & (F.col("target") == q.target))
+            local = q.target & ((1 << 48) - 1)
+            edge = (F.col("target") == q.target) & (F.col("target_local") == local)
+            return self.leaf(("rel", q.predicate, q.target), "rel", (F.col("name") == q.predicate) & edge)
         if isinstance(q, A.Not):
             inside = self.leaf(("all",), "tag", F.lit(True)) if self.universe == "tagged" else self.leaf(("live",), "live", F.lit(True))
             return inside & ~self.expression(q.part)
@@ -101,49 +107,70 @@ class Flags:
         return out
 
 
-def assertions(c: Collection, kinds: set[str]) -> DataFrame:
-    """(oid, kind, name, origin, v_..., target) of the kinds that a query needs."""
+def assertions(c: Collection, wanted: dict[str, Column]) -> DataFrame:
+    """(oid, kind, name, origin, v_..., target, target_local) of the kinds that a query needs, those that are wanted."""
     null = {x: F.lit(None).cast(t) for x, t in zip(VALUE_COLUMNS, ("string", "string", "long", "double", "long", "binary", "string"), strict=True)}
     values = [null[x].alias(x) for x in VALUE_COLUMNS]
-    no_target, no_origin = F.lit(None).cast("long").alias("target"), F.lit(None).cast("string").alias("origin")
+    no_target = [F.lit(None).cast("long").alias(x) for x in ("target", "target_local")]
+    no_origin = F.lit(None).cast("string").alias("origin")
     parts = []
-    if "tag" in kinds:
-        parts.append(c.tags.select("oid", F.lit("tag").alias("kind"), F.col("tag").alias("name"), "origin", *values, no_target))
-    if "attr" in kinds and c.attrs is not None:
-        parts.append(c.attrs.select("oid", F.lit("attr").alias("kind"), F.col("key").alias("name"), no_origin, *VALUE_COLUMNS, no_target))
-    if "rel" in kinds and c.rels is not None:
-        parts.append(c.rels.select("oid", F.lit("rel").alias("kind"), F.col("predicate").alias("name"), no_origin, *values, "target"))
-    if "live" in kinds:
+
+    def add(kind: str, rows: DataFrame, *columns) -> None:  # noqa: ANN002
+        parts.append(rows.where(wanted[kind]).select("oid", F.lit(kind).alias("kind"), "name", *columns))
+
+    if "tag" in wanted:
+        add("tag", c.tags.withColumnRenamed("tag", "name"), "origin", *values, *no_target)
+    if "attr" in wanted and c.attrs is not None:
+        add("attr", c.attrs.withColumnRenamed("key", "name"), no_origin, *VALUE_COLUMNS, *no_target)
+    if "rel" in wanted and c.rels is not None:
+        rels = c.rels if "target_local" in c.rels.columns else c.rels.withColumn("target_local", local_of(F.col("target")))
+        add("rel", rels.withColumnRenamed("predicate", "name"), no_origin, *values, "target", "target_local")
+    if "live" in wanted:
         if c.objects is None:
             raise A.QueryError("the collection has no object records")
-        live = c.objects.where("state = 'active'")
-        parts.append(live.select("oid", F.lit("live").alias("kind"), F.lit(None).cast("string").alias("name"), no_origin, *values, no_target))
-    out = parts[0] if parts else assertions(c, {"tag"}).limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        add("live", c.objects.where("state = 'active'").withColumn("name", F.lit(None).cast("string")), no_origin, *values, *no_target)
+    if not parts:
+        return assertions(c, {"tag": F.lit(False)})
+    return reduce(DataFrame.unionByName, parts)
 
 
-def evaluate(q: A.Query, c: Collection, universe: str = "tagged") -> DataFrame:
-    """(oid): the objects in the query's result, each once."""
+def _rows(flags: Flags, c: Collection) -> DataFrame:
+    """The assertions that any leaf asks for."""
+    wanted: dict[str, Column] = {}
+    for kind, predicate in flags.leaves.values():
+        wanted[kind] = wanted[kind] | predicate if kind in wanted else predicate
+    return assertions(c, wanted)
+
+
+def _check(q: A.Query, c: Collection) -> None:
     for tag in {n.tag for n in A.walk(q) if isinstance(n, A.IsA)}:
         if c.ontology is not None and c.ontology.resolve(tag) is None:
             raise A.UnknownTag(tag)
+
+
+def memberships(queries: Sequence[A.Query], c: Collection, universe: str = "tagged") -> DataFrame:
+    """(oid, q0, q1, ...): whether each object is in each query's result, for all queries in one pass and one aggregation.
+    Objects that no leaf of any query touches are left out; they are in none."""
     flags = Flags(c.ontology, universe)
-    expression = flags.expression(A.flatten(q))
+    for q in queries:
+        _check(q, c)
+    expressions = [flags.expression(A.flatten(q)) for q in queries]
     if not flags.leaves:
-        return c.tags.select("oid").where(F.lit(False))
-    kinds = {k for k, _ in flags.leaves.values()}
+        return c.tags.select("oid", *[F.lit(False).alias(f"q{i}") for i in range(len(queries))]).where(F.lit(False))
     # Typed columns are null for other types; a flag never is.
-    tests = [(F.col("kind") == k) & F.coalesce(p, F.lit(False)) for k, p in flags.leaves.values()]
-    wanted = tests[0]
-    for t in tests[1:]:
-        wanted = wanted | t
-    rows = assertions(c, kinds).where(wanted)
-    if len(tests) == 1 and isinstance(A.flatten(q), A.HasTag | A.IsA | A.HasAttr | A.HasKey | A.Related | A.Under):
-        return rows.select("oid").distinct()
-    flagged = rows.groupBy("oid").agg(*[F.bool_or(t).alias(f"f{i}") for i, t in enumerate(tests)])
-    return flagged.where(expression).select("oid")
+    tests = [F.coalesce(F.bool_or((F.col("kind") == k) & p), F.lit(False)).alias(f"f{i}") for i, (k, p) in enumerate(flags.leaves.values())]
+    flagged = _rows(flags, c).groupBy("oid").agg(*tests)
+    return flagged.select("oid", *[e.alias(f"q{i}") for i, e in enumerate(expressions)])
+
+
+def evaluate(q: A.Query, c: Collection, universe: str = "tagged") -> DataFrame:
+    """(oid): the objects in the query's result, each once."""
+    _check(q, c)
+    if isinstance(A.flatten(q), A.HasTag | A.IsA | A.HasKey | A.Related | A.Under) or (isinstance(q, A.HasAttr) and q.op != "!="):
+        flags = Flags(c.ontology, universe)
+        flags.expression(q)
+        return _rows(flags, c).select("oid").distinct()
+    return memberships([q], c, universe).where("q0").select("oid")
 
 
 def run_sql(p: PlannedQuery, c: Collection) -> DataFrame:

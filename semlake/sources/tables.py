@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +33,15 @@ def _tags(df: DataFrame, oid: Column, *names: Column, where: Column | None = Non
 
 
 def _attrs(df: DataFrame, oid: Column, values: dict[str, tuple[str, Column]], context: Column | None = None) -> DataFrame:
-    """A row for each value; all of them in one pass over the table."""
-    structs = [F.struct(F.lit(k).alias("key"), *typed(t, c, context)) for k, (t, c) in values.items()]
-    rows = df.select(oid.alias("oid"), F.explode(F.array(*structs)).alias("a"))
-    return rows.select("oid", "a.key", *[f"a.{c}" for c in VALUE_COLUMNS])
+    """A row for each value that isn't null. Each key is a branch that reads its own column only: a filter on key and value
+    reaches that column's scan, and the branches of other keys fall away."""
+    parts = [df.where(c.isNotNull()).select(oid.alias("oid"), F.lit(k).alias("key"), *typed(t, c, context)) for k, (t, c) in values.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rels(df: DataFrame, oid: Column, predicate: str, node: int, local: Column) -> DataFrame:
+    """A relation as a branch of its own, whose targets can be filtered by the column that they come from."""
+    return df.select(oid.alias("oid"), F.lit(predicate).alias("predicate"), oid_column(node, local).alias("target"), local.cast("long").alias("target_local"))
 
 
 def geo(spark: SparkSession, sf_dir: str) -> Ontology:
@@ -54,9 +61,9 @@ def parts(spark: SparkSession, sf_dir: str) -> Collection:
 
 def customers(spark: SparkSession, sf_dir: str) -> Collection:
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    c, oid = read(spark, sf_dir, "customer").join(nation, "c_nationkey"), oid_column(NODES["customer"], F.col("c_custkey"))
+    c, oid = read(spark, sf_dir, "customer"), oid_column(NODES["customer"], F.col("c_custkey"))
     ontology = geo(spark, sf_dir)
-    tags = materialise(_tags(c, oid, named("nation", "n_name"), named("segment", "c_mktsegment")), ontology)
+    tags = materialise(_tags(c.join(nation, "c_nationkey"), oid, named("nation", "n_name"), named("segment", "c_mktsegment")), ontology)
     return Collection(tags, _attrs(c, oid, {"name": ("text", F.col("c_name")), "acctbal": ("float", F.col("c_acctbal"))}), ontology=ontology)
 
 
@@ -71,13 +78,10 @@ def orders(spark: SparkSession, sf_dir: str, lines: bool = False, relations: boo
         items = read(spark, sf_dir, "lineitem")
         attrs = attrs.unionByName(_attrs(items, item_oid, {"quantity": ("float", F.col("l_quantity")), "returnflag": ("text", F.col("l_returnflag")), "shipdate": ("timestamp", nanoseconds(F.col("l_shipdate")))}))
     if relations:
-        placed = o.select(oid.alias("oid"), F.lit("placed_by").alias("predicate"), oid_column(NODES["customer"], F.col("o_custkey")).alias("target"))
-        ends = F.array(
-            F.struct(F.lit("contains").alias("predicate"), oid_column(NODES["part"], F.col("l_partkey")).alias("target")),
-            F.struct(F.lit("supplied_by").alias("predicate"), oid_column(NODES["supplier"], F.col("l_suppkey")).alias("target")),
-        )
-        items = read(spark, sf_dir, "lineitem").select(item_oid.alias("oid"), F.explode(ends).alias("e")).select("oid", "e.predicate", "e.target")
-        rels = placed.unionByName(items)
+        items = read(spark, sf_dir, "lineitem")
+        rels = _rels(o, oid, "placed_by", NODES["customer"], F.col("o_custkey"))
+        rels = rels.unionByName(_rels(items, item_oid, "contains", NODES["part"], F.col("l_partkey")))
+        rels = rels.unionByName(_rels(items, item_oid, "supplied_by", NODES["supplier"], F.col("l_suppkey")))
     return Collection(tags, attrs, rels)
 
 
