@@ -11,7 +11,8 @@ from semlake.functions.values import Value, oid, oid_column
 from semlake.operators import content, facets, mutate, ontology, paths, relational, watch
 from semlake.plans import algebra as A
 from semlake.plans import dsl, sql
-from semlake.plans.compile import Collection, evaluate, run_sql
+from semlake.plans.compile import Collection, evaluate
+from semlake.plans.select import run_sql
 from semlake.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]

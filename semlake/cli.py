@@ -16,7 +16,8 @@ from semlake.operators import facets, mutate, paths, watch
 from semlake.operators.ontology import Module, Ontology
 from semlake.plans import algebra as A
 from semlake.plans import dsl, sql
-from semlake.plans.compile import Collection, evaluate, run_sql
+from semlake.plans.compile import Collection, evaluate
+from semlake.plans.select import run_sql
 from semlake.sources.files import import_directory, load_manifest
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from semlake.functions.values import TYPES
 from semlake.storage import drop_table, table
 
-AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}
+AGGREGATES = ("count", "sum", "avg", "min", "max", "count_distinct")
 
 
 def project(attrs: DataFrame, selection: DataFrame, keys: dict[str, str]) -> DataFrame:
@@ -21,40 +21,53 @@ def project(attrs: DataFrame, selection: DataFrame, keys: dict[str, str]) -> Dat
         for k, t in keys.items()
     ]
     found = rows.join(selection.select("oid"), "oid", "left_semi").groupBy("oid").agg(*columns)
-    empty = [F.coalesce(k, F.array().cast(found.schema[k].dataType)).alias(k) for k in keys]
+    empty = [F.coalesce(f"`{k}`", F.array().cast(found.schema[k].dataType)).alias(k) for k in keys]
     return selection.select("oid").join(found, "oid", "left").select("oid", *empty)
 
 
-def group_by(attrs: DataFrame, selection: DataFrame | None, key: tuple[str, str], measures: dict[str, tuple[str, str, str]]) -> DataFrame:
+def group_by(attrs: DataFrame, selection: DataFrame | None, key: tuple[str, str] | None, measures: dict[str, tuple[str, str, str]]) -> DataFrame:
     """(key, measures...): key and measures are (name, type) of attributes; a measure is name: (aggregate, key, type), and
-    ("count", "*", "") counts objects. An object with several values is in several groups."""
-    rows = attrs if selection is None else attrs.join(selection.select("oid"), "oid", "left_semi")
-    name, kind = key
-    groups = rows.where((F.col("key") == name) & (F.col("v_type") == kind)).select("oid", F.col(TYPES[kind]).alias("g")).distinct()
+    ("count", "*", "") counts objects. An object with several values is in several groups. No key: one row for all objects
+    selected, or of all with an attribute."""
+    for how, _, _ in measures.values():
+        if how not in AGGREGATES:
+            raise ValueError(how)
+    rows = attrs.where(F.col("v_ctx").isNull())
     wanted = sorted({(k, t) for _, k, t in measures.values() if k != "*"})
+    if key is not None:
+        name, kind = key
+        groups = rows.where((F.col("key") == name) & (F.col("v_type") == kind)).select("oid", F.col(TYPES[kind]).alias("g")).distinct()
+        groups = groups if selection is None else groups.join(selection.select("oid"), "oid", "left_semi")
+    else:
+        name = "__all"
+        groups = (attrs if selection is None else selection).select("oid").distinct().withColumn("g", F.lit(0))
     made = groups
     if wanted:
         own = [F.collect_list(F.when((F.col("key") == k) & (F.col("v_type") == t), F.col(TYPES[t]))).alias(f"m{i}") for i, (k, t) in enumerate(wanted)]
         made = groups.join(rows.where(F.col("key").isin([k for k, _ in wanted])).groupBy("oid").agg(*own), "oid", "left")
-    out = []
+    out, distinct = [], {}
     for alias, (how, k, t) in measures.items():
         if k == "*":
             out.append(F.count(F.lit(1)).alias(alias))
             continue
         values = F.col(f"m{wanted.index((k, t))}")
+        total = F.aggregate(values, F.lit(0.0) if t == "float" or how == "avg" else F.lit(0).cast("long"), lambda a, x: a + x)
         if how == "count":
-            out.append(F.sum(F.size(values)).alias(alias))
+            out.append(F.coalesce(F.sum(F.when(values.isNotNull(), F.size(values))), F.lit(0)).alias(alias))
         elif how == "sum":
-            out.append(F.sum(F.aggregate(values, F.lit(0.0) if t == "float" else F.lit(0).cast("long"), lambda a, x: a + x)).alias(alias))
+            out.append(F.sum(F.when(F.size(values) > 0, total)).alias(alias))
         elif how == "avg":
-            out.append((F.sum(F.aggregate(values, F.lit(0.0), lambda a, x: a + x)) / F.sum(F.size(values))).alias(alias))
-        elif how == "min":
-            out.append(F.min(F.array_min(values)).alias(alias))
-        elif how == "max":
-            out.append(F.max(F.array_max(values)).alias(alias))
+            out.append((F.sum(F.when(F.size(values) > 0, total)) / F.sum(F.when(F.size(values) > 0, F.size(values)))).alias(alias))
+        elif how in ("min", "max"):
+            out.append((F.min(F.array_min(values)) if how == "min" else F.max(F.array_max(values))).alias(alias))
         else:
-            raise ValueError(how)
-    return made.groupBy(F.col("g").alias(name)).agg(*out)
+            distinct[alias] = made.select("g", F.explode(values).alias("x")).distinct().groupBy("g").agg(F.count(F.lit(1)).alias(alias))
+    result = made.groupBy("g").agg(*out) if out else made.select("g").distinct()
+    if key is None and not distinct:
+        return made.agg(*out)
+    for alias, counts in distinct.items():
+        result = result.join(counts, "g", "left").withColumn(alias, F.coalesce(alias, F.lit(0)))
+    return result.select(*([F.col("g").alias(name)] if key is not None else []), *measures)
 
 
 def order_by(attrs: DataFrame, selection: DataFrame, key: str, kind: str, descending: bool = False, limit: int | None = None) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from semlake.functions.values import Value, compare, format_oid
 
-OPS = ("=", "!=", "<", "<=", ">", ">=", "prefix", "contains")
+OPS = ("=", "!=", "<", "<=", ">", ">=", "prefix", "contains", "like")
 
 
 class QueryError(Exception):
@@ -151,6 +152,11 @@ def explain(q: Query) -> str:
     return "\n".join(out) + "\n"
 
 
+def like_pattern(pattern: str) -> re.Pattern:
+    """SQL's LIKE without an escape: % for any text, _ for any character."""
+    return re.compile("".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in pattern), re.DOTALL)
+
+
 def holds(op: str, stored: Value, wanted: Value) -> bool:
     """One stored value against one wanted value, for every op but !=."""
     if stored.context is not None or stored.type != wanted.type:
@@ -159,6 +165,8 @@ def holds(op: str, stored: Value, wanted: Value) -> bool:
         return wanted.type == "text" and stored.raw.startswith(wanted.raw)
     if op == "contains":
         return wanted.type == "text" and wanted.raw in stored.raw
+    if op == "like":
+        return wanted.type == "text" and like_pattern(wanted.raw).fullmatch(stored.raw) is not None
     c = compare(stored, wanted)
     return c is not None and {"=": c == 0, "<": c < 0, "<=": c <= 0, ">": c > 0, ">=": c >= 0}[op]
 

@@ -9,7 +9,7 @@ complement is taken against the objects that have a tag.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,20 +18,20 @@ from pyspark.sql import functions as F
 from semlake.functions.values import TYPES, VALUE_COLUMNS, Value, local_of
 from semlake.operators.ontology import Ontology
 from semlake.plans import algebra as A
-from semlake.plans.sql import PlannedQuery
 
 
 @dataclass
 class Collection:
     """Assertions of objects, narrow: tags (oid, tag, origin) with implied ones, attrs (oid, key, v_...), rels (oid,
     predicate, target; target_local, the target without its node, where the source can filter by it), and objects (oid,
-    state, ...) where records are kept."""
+    state, ...) where records are kept. types: the type of each key's values, where the source knows them."""
 
     tags: DataFrame
     attrs: DataFrame | None = None
     rels: DataFrame | None = None
     ontology: Ontology | None = None
     objects: DataFrame | None = None
+    types: dict[str, str] = field(default_factory=dict)
 
     def resolve(self, name: str) -> str | None:
         return name if self.ontology is None else self.ontology.resolve(name)
@@ -44,7 +44,7 @@ def _literal(v: Value) -> Column:
 
 def _value(op: str, v: Value) -> Column:
     """The stored value against a literal of its own type; scoped values never compare."""
-    if v.context is not None or (op in ("prefix", "contains") and v.type != "text"):
+    if v.context is not None or (op in ("prefix", "contains", "like") and v.type != "text"):
         return F.lit(False)
     stored, wanted = F.col(TYPES[v.type]), _literal(v)
     test = {
@@ -55,6 +55,7 @@ def _value(op: str, v: Value) -> Column:
         ">=": lambda: stored >= wanted,
         "prefix": lambda: stored.startswith(wanted),
         "contains": lambda: stored.contains(wanted),
+        "like": lambda: stored.like(v.raw.replace("\\", "\\\\")),
     }[op]()
     return (F.col("v_type") == v.type) & F.col("v_ctx").isNull() & test
 
@@ -171,15 +172,3 @@ def evaluate(q: A.Query, c: Collection, universe: str = "tagged") -> DataFrame:
         flags.expression(q)
         return _rows(flags, c).select("oid").distinct()
     return memberships([q], c, universe).where("q0").select("oid")
-
-
-def run_sql(p: PlannedQuery, c: Collection) -> DataFrame:
-    """Sorted oids, or one row with the count; LIMIT and OFFSET apply to the counted objects."""
-    found = evaluate(p.query, c)
-    if p.count:
-        n = F.count(F.lit(1))
-        n = F.greatest(n - (p.offset or 0), F.lit(0))
-        return found.agg((n if p.limit is None else F.least(n, F.lit(p.limit))).cast("long").alias("count"))
-    out = found.orderBy("oid")
-    out = out.offset(p.offset) if p.offset else out
-    return out if p.limit is None else out.limit(p.limit)

@@ -11,7 +11,8 @@ from semlake.functions.values import Value
 from semlake.operators.ontology import Module, Ontology, Tag, materialise
 from semlake.plans import algebra as A
 from semlake.plans import dsl, sql
-from semlake.plans.compile import Collection, evaluate, run_sql
+from semlake.plans.compile import Collection, evaluate
+from semlake.plans.select import run_sql
 
 ATTRS = "oid long, key string, v_type string, v_text string, v_int long, v_float double, v_ts long, v_blob binary, v_ctx string"
 
@@ -111,8 +112,10 @@ def test_parse_and_print():
     assert dsl.parse("(attr k = 1_000)").value == Value("text", "1_000")
     assert dsl.parse("(attr k = +5)").value == Value("int", 5) and dsl.parse("(attr k = 1e5)").value == Value("float", 1e5)
     assert dsl.parse("(tag @42)", Ontology().resolve) == A.HasTag("@42")
+    for q in (A.HasKey("k"), A.HasTag("a b", direct=True), A.Under("p", "x/y", "web"), A.Under("p", "x"), A.Not(A.HasAttr("k", "like", Value("text", "a%b")))):
+        assert dsl.parse(dsl.to_sexpr(q)) == q
     with pytest.raises(A.QueryError):
-        dsl.to_sexpr(A.HasKey("k"))
+        dsl.to_sexpr(A.HasAttr("k", "=", Value("blob", b"x")))
 
 
 @pytest.mark.parametrize(
@@ -152,11 +155,11 @@ def test_sql_plans():
 
 @pytest.mark.parametrize(
     "text",
-    ["SELECT * FROM other", "SELECT a FROM objects", "SELECT *, a FROM objects", "SELECT DISTINCT * FROM objects", "SELECT * FROM objects GROUP BY a", "SELECT * FROM objects ORDER BY a", "SELECT * FROM objects JOIN x ON 1=1",
+    ["SELECT * FROM other", "SELECT a + 1 FROM objects", "SELECT *, a FROM objects", "SELECT DISTINCT * FROM objects", "SELECT * FROM objects GROUP BY a", "SELECT b FROM objects GROUP BY a", "SELECT a FROM objects GROUP BY a, b", "SELECT * FROM objects ORDER BY 1", "SELECT * FROM objects JOIN x ON 1=1",
      "SELECT * FROM objects, x", "SELECT * FROM objects LIMIT -1", "WITH a AS (SELECT 1) SELECT * FROM a", "SELECT * FROM objects UNION SELECT * FROM objects", "INSERT INTO objects VALUES (1)", "DELETE FROM objects", "VALUES (1)",
-     "SELECT * FROM objects WHERE n LIKE 'a%b'", "SELECT * FROM objects WHERE n LIKE 'a_'", "SELECT * FROM objects WHERE n LIKE '%s%'", "SELECT * FROM objects WHERE tag <> 'a'", "SELECT * FROM objects WHERE n BETWEEN 1 AND 2",
+     "SELECT * FROM objects WHERE n LIKE 'a' ESCAPE 'b'", "SELECT a, COUNT(*) FROM objects", "SELECT * FROM objects ORDER BY SUM(a)", "SELECT median(a) FROM objects", "SELECT SUM(DISTINCT a) FROM objects", "SELECT a, a FROM objects", "SELECT * FROM objects WHERE tag <> 'a'", "SELECT * FROM objects WHERE n BETWEEN 1 AND 2",
      "SELECT * FROM objects WHERE n IS NULL", "SELECT * FROM objects WHERE 1 = n", "SELECT * FROM objects WHERE n = 1 + 1", "SELECT * FROM objects WHERE f(n) = 1", "SELECT * FROM objects WHERE n IN (SELECT 1)", "SELECT * FROM objects FETCH FIRST 1 ROW ONLY",
-     "SELECT COUNT(a) FROM objects", "SELECT SUM(*) FROM objects", "SELECT * FROM objects HAVING a = 1", "SELECT * FROM objects; SELECT * FROM objects", "", "SELECT * FROM objects WHERE n ILIKE 'a'", "SELECT * FROM objects WHERE n", "SELECT * FROM objects QUALIFY 1"],
+     "SELECT SUM(*) FROM objects", "SELECT * FROM objects HAVING a = 1", "SELECT * FROM objects; SELECT * FROM objects", "", "SELECT * FROM objects WHERE n ILIKE 'a'", "SELECT * FROM objects WHERE n", "SELECT * FROM objects QUALIFY 1"],
 )
 def test_sql_refuses(text):
     with pytest.raises(sql.SqlError):
@@ -170,6 +173,32 @@ def test_sql_runs(shop):
     assert ids(run_sql(sql.plan(same), shop)) == [5, 8]
 
 
+def test_sql_columns_groups_and_order(spark):
+    rows = [(1, "kind", Value("text", "a")), (1, "n", Value("int", 5)), (1, "n", Value("int", 7)), (2, "kind", Value("text", "a")), (2, "n", Value("int", 7)), (3, "kind", Value("text", "b")),
+            (4, "kind", Value("text", "b")), (4, "kind", Value("text", "c")), (4, "n", Value("int", 1)), (4, "n", Value("int", 9).scoped("x"))]
+    tags = spark.createDataFrame([(i, "t", "direct") for i in range(1, 5)], "oid long, tag string, origin string")
+    c = Collection(tags, attrs_table(spark, rows))
+    ask = lambda text: [tuple(r) for r in run_sql(sql.plan(text), c).collect()]
+    assert ask("SELECT id, n AS m FROM objects") == [(1, [5, 7]), (2, [7]), (3, []), (4, [1])]
+    assert ask("SELECT * FROM objects ORDER BY n") == [(4,), (1,), (2,), (3,)] and ask("SELECT * FROM objects ORDER BY n DESC LIMIT 2") == [(1,), (2,)]
+    assert sorted(ask("SELECT DISTINCT kind FROM objects")) == [(["a"],), (["b"],), (["b", "c"],)]
+    text = "SELECT kind, COUNT(*) AS k, SUM(n), MIN(n), COUNT(DISTINCT n) AS d, COUNT(n) FROM objects GROUP BY kind ORDER BY kind"
+    assert ask(text) == [("a", 2, 19, 5, 2, 3), ("b", 2, 1, 1, 1, 1), ("c", 1, 1, 1, 1, 1)]
+    assert ask("SELECT kind FROM objects GROUP BY kind HAVING COUNT(*) > 1 AND SUM(n) < 5") == [("b",)]
+    assert ask("SELECT AVG(n) AS mean, COUNT(DISTINCT kind) AS k FROM objects WHERE tag = 't'") == [(5.0, 3)]
+    assert ask("SELECT COUNT(n) FROM objects WHERE kind = 'none'") == [(0,)]
+    assert ask("SELECT * FROM objects WHERE kind LIKE '_'") == [(1,), (2,), (3,), (4,)] and ask("SELECT * FROM objects WHERE kind LIKE '%x%'") == []
+
+
+def test_sql_fields_of_the_record(spark):
+    from semlake.operators import mutate
+
+    log = mutate.ops_table(spark, [{"lsn": i, "physical_ns": 10 * i} | o for i, o in enumerate([{"op": "create", "oid": 1}, {"op": "add_tag", "oid": 1, "tag": "t"}, {"op": "add_tag", "oid": 2, "tag": "t"}, {"op": "write_blob", "oid": 2, "content_hash": "h", "size": 33}])])
+    c = mutate.fold(log, Ontology().register("t"))
+    got = run_sql(sql.plan("SELECT id, created, modified, size FROM objects ORDER BY size DESC"), c).collect()
+    assert [tuple(r) for r in got] == [(2, 20, 30, 33), (1, 0, 10, None)]
+
+
 # ---- values
 
 
