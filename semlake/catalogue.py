@@ -127,7 +127,8 @@ algebra(
     "q_design_doc", S.parts, "(and (tag type:PROMO) (attr size >= 10) (not (tag brand:Brand#13)))",
     part_ids("p_type = 'PROMO' AND p_size >= 10 AND p_brand <> 'Brand#13'"),
 )
-algebra("q_direct_only", S.customers, A.HasTag("region:ASIA", direct=True), f"{CUSTOMERS_BY_REGION} WHERE false")
+algebra("q_direct_only", S.customers, A.HasTag("nation:NATION_2", direct=True), f"{CUSTOMERS_BY_REGION} WHERE n_name = 'NATION_2'")
+algebra("q_implied_not_direct", S.customers, A.And((A.HasTag("region:ASIA"), A.Not(A.HasTag("region:ASIA", direct=True)))), f"{CUSTOMERS_BY_REGION} WHERE r_name = 'ASIA'")
 algebra("q_has_key", lines, A.HasKey("shipdate"), order_ids("true"))
 algebra(
     "q_under", S.pages, A.Under("unix-path", "ththre.example.com/fr", "web"),
@@ -135,10 +136,14 @@ algebra(
 )
 
 
-@query("q_universe_live", f"SELECT {USER}user_id AS oid FROM events GROUP BY user_id HAVING NOT bool_or(event_type IN ('signup', 'purchase'))")
+@query(
+    "q_universe_live",
+    f"SELECT {USER}user_id AS oid FROM events GROUP BY user_id HAVING coalesce(arg_max(event_type, (epoch_us(ts), event_id)) FILTER (event_type IN ('error', 'click')), 'click') <> 'error'",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """Users that no error marks, with or without tags."""
     c = mutate.fold(S.operations(S.read(spark, d, "events")), S.user_ontology())
-    return evaluate(A.Not(A.IsA("account")), c, universe="live")
+    return evaluate(A.Not(A.HasTag("errored")), c, universe="live")
 
 
 # ---- SQL
@@ -161,6 +166,38 @@ by_sql(
 by_sql("q_sql_isa", S.customers, "SELECT COUNT(*) FROM objects WHERE isa('region:EUROPE') OR acctbal < 0.0", f"SELECT count(*) AS count FROM ({CUSTOMERS_BY_REGION} WHERE r_name = 'EUROPE' OR c_acctbal < 0)")
 by_sql("q_sql_related", related, f"SELECT * FROM objects WHERE related('placed_by', {oid(3, 7)})", f"SELECT {ORDER}o_orderkey AS oid FROM orders WHERE o_custkey = 7")
 
+by_sql(
+    "q_sql_project", S.parts, "SELECT id, name, size AS n FROM objects WHERE tag = 'type:PROMO' AND size >= 10",
+    f"SELECT {PART}p_partkey AS id, [p_name] AS name, [p_size::BIGINT] AS n FROM part WHERE p_type = 'PROMO' AND p_size >= 10",
+)
+by_sql(
+    "q_sql_project_multi", lines, "SELECT id, returnflag FROM objects WHERE quantity >= 50.0",
+    f"SELECT {ORDER}l_orderkey AS id, list_sort(list(l_returnflag)) AS returnflag FROM lineitem GROUP BY l_orderkey "
+    f"HAVING bool_or(l_quantity >= 50)",
+)
+by_sql("q_sql_distinct", S.orders, "SELECT DISTINCT priority FROM objects", "SELECT DISTINCT [o_orderpriority] AS priority FROM orders WHERE o_totalprice >= 25000")
+by_sql(
+    "q_sql_order_by", S.orders, "SELECT id, total FROM objects WHERE tag = 'status:F' ORDER BY total DESC, id LIMIT 50",
+    f"SELECT {ORDER}o_orderkey AS id, [o_totalprice] AS total FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 25000 ORDER BY o_totalprice DESC, 1 LIMIT 50",
+)
+by_sql(
+    "q_sql_group_by", S.orders, "SELECT priority, COUNT(*) AS n, MAX(total) AS most, COUNT(DISTINCT date) AS days FROM objects GROUP BY priority HAVING COUNT(*) > 100 ORDER BY n DESC",
+    "SELECT o_orderpriority AS priority, count(*) AS n, max(o_totalprice) AS most, count(DISTINCT o_orderdate) AS days FROM orders WHERE o_totalprice >= 25000 GROUP BY ALL HAVING count(*) > 100",
+)
+by_sql(
+    "q_count_distinct", lines, "SELECT COUNT(DISTINCT quantity) AS quantities, COUNT(DISTINCT returnflag) AS flags, COUNT(*) AS n, MIN(quantity) AS least FROM objects WHERE returnflag = 'R'",
+    "WITH r AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') SELECT count(DISTINCT l_quantity) AS quantities, count(DISTINCT l_returnflag) AS flags, "
+    "count(DISTINCT l_orderkey) AS n, min(l_quantity) AS least FROM lineitem JOIN r USING (l_orderkey)",
+)
+by_sql("q_sql_like", S.parts, "SELECT * FROM objects WHERE name LIKE 's%_ll %t' OR name LIKE '%re%'", part_ids("p_name LIKE 's%_ll %t' OR p_name LIKE '%re%'"))
+
+
+@query("q_sql_fields", f"SELECT oid AS id, created_ns AS created, blob_length AS size FROM (SELECT oid, min(ns) AS created_ns, (strlen(arg_max(props, (ns, lsn)) FILTER (op = 'write_blob')))::BIGINT AS blob_length FROM ({OPS}) GROUP BY oid HAVING bool_or(tag IN ('member', 'buyer')))")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = mutate.fold(S.operations(S.read(spark, d, "events")), S.user_ontology())
+    return run_sql(sql.plan("SELECT id, created, size FROM objects WHERE isa('account')"), c)
+
+
 # ---- facets and tag sets
 
 
@@ -238,14 +275,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q_remove_tag_cascade",
-    f"WITH last AS (SELECT oid, tag, arg_max(op, (ns, lsn)) AS op FROM ({OPS}) WHERE tag IS NOT NULL GROUP BY ALL), d AS (SELECT oid, tag FROM last WHERE op = 'add_tag' AND tag <> 'buyer') "
-    "SELECT oid, tag, 'direct' AS origin FROM d UNION ALL SELECT DISTINCT oid, 'account', 'materialized' FROM d WHERE tag = 'member'",
+    f"WITH t AS ({CUSTOMER_TAGS}), gone AS (SELECT {CUSTOMER}7 AS oid) SELECT * FROM t WHERE oid NOT IN (SELECT oid FROM gone) UNION ALL "
+    "SELECT * FROM t WHERE oid IN (SELECT oid FROM gone) AND tag LIKE 'segment:%'",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Every user loses the tag buyer; account stays only where member still implies it."""
-    ops = S.operations(S.read(spark, d, "events"))
-    held = mutate.direct_tags(mutate.live_ops(ops)).where("tag <> 'buyer'")
-    return ontology.materialise(held, S.user_ontology())
+    """Customer 7 loses its nation: region and world, which nothing else implies, go with it."""
+    c, one = S.customers(spark, d), oid(3, 7)
+    nation = c.tags.where((F.col("oid") == one) & F.col("tag").startswith("nation:")).first().tag
+    return mutate.remove_cascade(c.tags, one, nation, c.ontology)
 
 
 @query("q_orphans", "SELECT DISTINCT 'segment:' || c_mktsegment AS tag FROM customer")
@@ -269,9 +306,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return facets.assertions_of(S.customers(spark, d), oid(3, 5))
 
 
-@query("q_object_counts", f"SELECT {ORDER}o_orderkey AS oid, (o_totalprice >= 25000)::BIGINT AS tag_count, 3::BIGINT AS attr_count, 1 + 2 * (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS relation_count FROM orders")
+@query("q_object_counts", f"SELECT {ORDER}o_orderkey AS oid, (o_totalprice >= 25000)::BIGINT AS tag_count, 3::BIGINT AS attr_count, 1 + 2 * (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS relation_count FROM orders UNION ALL SELECT {ORDER}l_orderkey, 0, 0, 2 * count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return facets.object_counts(related(spark, d)).where("attr_count > 0")
+    return facets.object_counts(related(spark, d))
 
 
 @query(
@@ -359,12 +396,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q_snapshot_visible",
-    "WITH v AS (SELECT user_id AS oid, day(ts) AS s, max(value) AS value, bool_or(event_type = 'error') AS gone FROM events WHERE day(ts) IN (1, 2, 5, 9) GROUP BY ALL), "
+    "WITH v AS (SELECT user_id AS oid, day(ts) AS s, max(value) AS value, bool_or(event_type = 'error') AS gone FROM events GROUP BY ALL), "
     "w AS (SELECT oid, arg_max(value, s) AS value, arg_max(gone, s) AS gone FROM v GROUP BY oid) SELECT oid, value FROM w WHERE NOT gone",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = S.read(spark, d, "events").groupBy("user_id", F.dayofmonth("ts").alias("snapshot")).agg(F.max("value").alias("value"), F.bool_or(F.col("event_type") == "error").alias("whiteout"))
-    return mutate.visible(e.withColumnRenamed("user_id", "oid"), [1, 2, 5, 9])
+    return mutate.visible(e.withColumnRenamed("user_id", "oid"), range(1, 32))
 
 
 @query("q_merge_lww", "SELECT user_id AS oid, arg_max(event_type, ts) AS state FROM events GROUP BY user_id")
@@ -373,8 +410,121 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return mutate.merged(e, ["oid"], "state")
 
 
+# ---- a log with operations of every kind
+
+#: (lsn, ns, oid, op, tag, value, part, props) of S.histories.
+LIFE = (
+    f"SELECT event_id * 4 + nth AS lsn, epoch_us(ts) * 1000 AS ns, {USER}user_id AS oid, op, CASE WHEN op = 'remove_tag' THEN 'account' WHEN op = 'add_tag' AND event_type = 'signup' THEN 'member' "
+    f"WHEN op = 'add_tag' THEN 'buyer' END AS tag, value, {PART}floor(value)::BIGINT AS part, props, event_type FROM (SELECT *, unnest(o) AS op, unnest(range(len(o))) AS nth FROM (SELECT *, "
+    "CASE WHEN event_type = 'signup' THEN ['create', 'add_tag'] WHEN event_type = 'purchase' THEN ['add_tag', 'set_attr', 'add_relation'] WHEN event_type = 'error' THEN ['remove_attr', 'remove_tag'] "
+    "WHEN event_type = 'click' THEN ['set_attr'] WHEN value > 300 THEN ['delete'] ELSE ['write_blob', 'remove_relation'] END AS o FROM events))"
+)
+#: The same without objects that are deleted in the end, and positions that sort as the log does.
+LIVE = f"WITH o AS (SELECT *, row_number() OVER (ORDER BY ns, lsn) AS pos FROM ({LIFE})), l AS (SELECT * FROM o WHERE oid NOT IN (SELECT oid FROM o WHERE op = 'delete'))"
+
+
+def lives(spark: SparkSession, d: str) -> DataFrame:
+    return S.histories(S.read(spark, d, "events"))
+
+
+def folded_lives(spark: SparkSession, d: str) -> Collection:
+    return mutate.fold(lives(spark, d), S.user_ontology())
+
+
+@query(
+    "q_fold_implied_removed",
+    f"{LIVE}, t AS (SELECT oid, tag, max(pos) AS pos FROM l WHERE op = 'add_tag' GROUP BY ALL), g AS (SELECT oid, max(pos) AS gone FROM l WHERE op = 'remove_tag' GROUP BY oid) "
+    "SELECT oid, tag, 'direct' AS origin FROM t UNION ALL SELECT t.oid, 'account', 'materialized' FROM t LEFT JOIN g USING (oid) GROUP BY t.oid HAVING max(t.pos) > coalesce(max(gone), 0)",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Account is removed by itself, and comes back with the next member or buyer."""
+    return folded_lives(spark, d).tags
+
+
+@query(
+    "q_fold_attrs",
+    f"{LIVE}, g AS (SELECT oid, max(pos) AS gone FROM l WHERE op = 'remove_attr' GROUP BY oid) SELECT oid, CASE event_type WHEN 'click' THEN 'state' ELSE 'value' END AS key, "
+    "CASE event_type WHEN 'click' THEN 'open' END AS v_text, CASE event_type WHEN 'purchase' THEN value END AS v_float FROM l LEFT JOIN g USING (oid) "
+    "WHERE op = 'set_attr' AND (event_type = 'purchase' OR pos > coalesce(gone, 0))",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return folded_lives(spark, d).attrs.select("oid", "key", "v_text", "v_float")
+
+
+@query("q_fold_relations", f"{LIVE} SELECT oid, 'bought' AS predicate, part AS target FROM (SELECT oid, part, arg_max(op, pos) AS op FROM l WHERE op LIKE '%relation' GROUP BY ALL) WHERE op = 'add_relation'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return folded_lives(spark, d).rels
+
+
+@query("q_fold_deleted", f"{LIVE} SELECT oid, CASE WHEN bool_or(op = 'delete') THEN 'tombstoned' ELSE 'active' END AS state, max(lsn) AS last_lsn FROM o GROUP BY oid")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return folded_lives(spark, d).objects.select("oid", "state", "last_lsn")
+
+
+@query("q_fold_query", f"{LIVE} SELECT oid FROM l GROUP BY oid HAVING bool_or(op = 'add_tag' AND tag = 'buyer') AND NOT bool_or(op = 'set_attr' AND event_type = 'purchase' AND value > 200)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate(dsl.parse("(and (tag buyer) (not (attr value > 200.0)))"), folded_lives(spark, d))
+
+
+@query(
+    "q_hlc_ties",
+    "SELECT user_id AS oid, arg_max(event_type, (event_id % 3, event_id % 5, event_id)) AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 3, event_id % 5 ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY user_id",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """One wall clock for all: counters decide, and nodes where these are equal."""
+    e = S.read(spark, d, "events")
+    e = e.groupBy(F.col("user_id").alias("oid"), (F.col("event_id") % 3).alias("logical"), (F.col("event_id") % 5).alias("node")).agg(F.max_by("event_type", "event_id").alias("state"))
+    return mutate.merged(e.withColumn("physical_ns", F.lit(7)), ["oid"], "state")
+
+
 # ---- subscriptions
 
+
+def transitions(after: str, asked: str, sub_id: int = 1) -> str:
+    """The events of a subscription over LIFE, from its membership after each operation, as SQL over windows w of o."""
+    return (
+        f"SELECT {sub_id}::BIGINT AS sub_id, lsn, ns AS physical_ns, oid, CASE WHEN kind LIKE 'Tag%' THEN tag END AS tag, kind, (kind = 'Exited' AND op = 'remove_tag' AND tag IN ({asked}))::INT AS step FROM ("
+        f"SELECT *, unnest(CASE WHEN NOT before AND after THEN [CASE op WHEN 'create' THEN 'Created' ELSE 'Entered' END] WHEN before AND NOT after AND op = 'delete' THEN ['Deleted'] "
+        f"WHEN before AND NOT after AND op = 'remove_tag' AND tag IN ({asked}) THEN ['TagRemoved', 'Exited'] WHEN before AND NOT after THEN ['Exited'] WHEN before AND after AND op = 'add_tag' THEN ['TagAdded'] "
+        f"WHEN before AND after AND op = 'remove_tag' THEN ['TagRemoved'] WHEN before AND after AND op IN ('set_attr', 'remove_attr', 'write_blob') THEN ['ContentChanged'] ELSE [] END) AS kind FROM ("
+        f"SELECT *, coalesce(lag(after) OVER (PARTITION BY oid ORDER BY pos), false) AS before FROM (SELECT *, coalesce({after}, false) AND NOT bool_or(op = 'delete') OVER w AS after "
+        f"FROM (SELECT *, row_number() OVER (ORDER BY ns, lsn) AS pos FROM ({LIFE})) WINDOW w AS (PARTITION BY oid ORDER BY pos ROWS UNBOUNDED PRECEDING))))"
+    )
+
+
+LIFE_SUBS = [
+    (dsl.parse('(attr state = "open")'), "coalesce(last_value(CASE WHEN op = 'remove_attr' THEN false WHEN op = 'set_attr' AND event_type = 'click' THEN true END IGNORE NULLS) OVER w, false)", "''"),
+    (dsl.parse("(not (tag buyer))"), "bool_or(op = 'add_tag') OVER w AND NOT bool_or(op = 'add_tag' AND tag = 'buyer') OVER w", "'buyer'"),
+    (dsl.parse("(tag account)"), "coalesce(max(pos) FILTER (op = 'add_tag') OVER w, 0) > coalesce(max(pos) FILTER (op = 'remove_tag') OVER w, 0)", "'account', 'member', 'buyer'"),
+    (
+        A.And((A.HasTag("buyer"), A.HasAttr("value", "<", Value("float", 20.0)))),
+        "bool_or(op = 'add_tag' AND tag = 'buyer') OVER w AND bool_or(op = 'set_attr' AND event_type = 'purchase' AND value < 20) OVER w", "'buyer'",
+    ),
+]
+
+
+def life_subscriptions() -> list[watch.Subscription]:
+    return [watch.Subscription(i + 1, f"s{i + 1}", q, retention=None) for i, (q, _, _) in enumerate(LIFE_SUBS)]
+
+
+for number, name in ((0, "q_watch_remove_attr"), (1, "q_watch_not"), (2, "q_watch_implied")):
+    query(name, transitions(*LIFE_SUBS[number][1:], sub_id=number + 1))(
+        lambda spark, d, n=number: watch.drain(lives(spark, d), life_subscriptions()[n], S.user_ontology()).select("sub_id", "lsn", "physical_ns", "oid", "tag", "kind", "step")
+    )
+
+
+@query("q_watch_several", " UNION ALL ".join(transitions(after, asked, i + 1) for i, (_, after, asked) in enumerate(LIFE_SUBS)))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All subscriptions from one pass over the log."""
+    return watch.derive_all(lives(spark, d), life_subscriptions(), S.user_ontology()).select("sub_id", "lsn", "physical_ns", "oid", "tag", "kind", "step")
+
+
+@query("q_watch_retention_several", " UNION ALL ".join(f"SELECT * FROM (SELECT * FROM ({transitions(after, asked, i + 1)}) ORDER BY physical_ns DESC, lsn DESC, step DESC LIMIT 30)" for i, (_, after, asked) in enumerate(LIFE_SUBS)))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = watch.derive_all(lives(spark, d), life_subscriptions(), S.user_ontology())
+    return watch.retained(found, 30).select("sub_id", "lsn", "physical_ns", "oid", "tag", "kind", "step")
+
+
 ERRORED_BUYERS = A.And((A.HasTag("errored"), A.HasTag("buyer")))
 #: Membership after each operation, and before it.
 STATES = (
@@ -448,16 +598,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q_transitive",
-    "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, (user_id * 7 + 3) % 150 AS b FROM events), "
-    "r AS (SELECT b, 1 AS depth FROM e WHERE a = 0 UNION SELECT e.b, depth + 1 FROM r JOIN e ON r.b = e.a WHERE depth < 200) "
-    f"SELECT {USER}b AS oid, min(depth) AS depth FROM r GROUP BY b",
+    f"WITH RECURSIVE e AS (SELECT DISTINCT {ORDER}l_orderkey AS a, {PART}l_partkey AS b FROM lineitem), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), "
+    f"r AS (SELECT b, 1 AS depth FROM s WHERE a = {PART}7 UNION SELECT s.b, depth + 1 FROM r JOIN s ON r.b = s.a WHERE depth < 12) "
+    "SELECT b AS oid, min(depth) AS depth FROM r GROUP BY b",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Along a relation with cycles: each user follows another one."""
-    e = S.read(spark, d, "events").select("user_id").distinct()
-    rels = e.select(oid_column(8, F.col("user_id")).alias("oid"), F.lit("follows").alias("predicate"), oid_column(8, (F.col("user_id") * 7 + 3) % 150).alias("target"))
-    start = spark.createDataFrame([(oid(8, 0),)], "oid long")
-    return relational.reachable(rels, start, "follows")
+    """Orders and parts that are reached from a part over what orders contain, either way: a relation full of cycles."""
+    start = spark.createDataFrame([(oid(1, 7),)], "oid long")
+    return relational.reachable(related(spark, d).rels, start, "contains", symmetric=True)
 
 
 # ---- content, placement, paths
@@ -473,13 +621,7 @@ def chunked(docs: DataFrame) -> DataFrame:
     return content.chunk_index(content.fixed_chunks(docs.select(F.col("doc_id").alias("oid"), F.col("text").alias("data")), 65_536))
 
 
-@query("q_chunk_dedup", "WITH c AS (SELECT text, unnest(range(0, strlen(text), 65536)) AS pos FROM documents WHERE strlen(text) = length(text)) SELECT sha256(substr(text, pos + 1, 65536)) AS hash, count(*) AS ref_count, any_value(least(65536, length(text) - pos)) AS length FROM c GROUP BY ALL")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """Only over texts in ASCII, whose bytes and characters this SQL cuts alike; q_chunk_dedup_all takes every text."""
-    return chunked(S.read(spark, d, "documents").where(F.octet_length("text") == F.char_length("text")))
-
-
-@query("q_chunk_dedup_all", "WITH c AS (SELECT encode(text) AS data, unnest(range(0, strlen(text), 65536)) AS pos FROM documents) SELECT sha256(data[pos + 1 : pos + 65536]) AS hash, count(*) AS ref_count, any_value(least(65536, octet_length(data) - pos)) AS length FROM c GROUP BY ALL")
+@query("q_chunk_dedup", "WITH c AS (SELECT encode(text) AS data, unnest(range(0, strlen(text), 65536)) AS pos FROM documents) SELECT sha256(data[pos + 1 : pos + 65536]) AS hash, count(*) AS ref_count, any_value(least(65536, octet_length(data) - pos)) AS length FROM c GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return chunked(S.read(spark, d, "documents"))
 
@@ -490,13 +632,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return content.chunk_index(docs.select(content.content_hash(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("length")))
 
 
-@query("q_content_pipeline", f"SELECT {DOC}doc_id AS oid, sha256(text) AS content_hash, strlen(text) AS blob_length, true AS intact, true AS smaller, (strlen(text) + 4095) // 4096 * 4096 AS padded FROM documents WHERE strlen(text) > 300")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """Contents go through compression and come back; those above 300 bytes always shrink. q_content_pipeline_all takes every text."""
-    return piped(S.read(spark, d, "documents").where(F.octet_length("text") > 300))
-
-
-@query("q_content_pipeline_all", f"SELECT {DOC}doc_id AS oid, sha256(text) AS content_hash, strlen(text) AS blob_length, true AS intact, (strlen(text) + 4095) // 4096 * 4096 AS padded FROM documents")
+@query("q_content_pipeline", f"SELECT {DOC}doc_id AS oid, sha256(text) AS content_hash, strlen(text) AS blob_length, true AS intact, (strlen(text) + 4095) // 4096 * 4096 AS padded FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Whether a short text shrinks depends on the compressor, so SQL can't tell; no text comes back as none."""
     return piped(S.read(spark, d, "documents")).drop("smaller")

@@ -56,7 +56,7 @@ def geo(spark: SparkSession, sf_dir: str) -> Ontology:
 def parts(spark: SparkSession, sf_dir: str) -> Collection:
     p, oid = read(spark, sf_dir, "part"), oid_column(NODES["part"], F.col("p_partkey"))
     tags = _tags(p, oid, named("type", "p_type"), named("brand", "p_brand")).withColumn("origin", F.lit("direct"))
-    return Collection(tags, _attrs(p, oid, {"name": ("text", F.col("p_name")), "size": ("int", F.col("p_size")), "price": ("float", F.col("p_retailprice"))}))
+    return Collection(tags, _attrs(p, oid, {"name": ("text", F.col("p_name")), "size": ("int", F.col("p_size")), "price": ("float", F.col("p_retailprice"))}), types={"name": "text", "size": "int", "price": "float"})
 
 
 def customers(spark: SparkSession, sf_dir: str) -> Collection:
@@ -82,7 +82,8 @@ def orders(spark: SparkSession, sf_dir: str, lines: bool = False, relations: boo
         rels = _rels(o, oid, "placed_by", NODES["customer"], F.col("o_custkey"))
         rels = rels.unionByName(_rels(items, item_oid, "contains", NODES["part"], F.col("l_partkey")))
         rels = rels.unionByName(_rels(items, item_oid, "supplied_by", NODES["supplier"], F.col("l_suppkey")))
-    return Collection(tags, attrs, rels)
+    types = {"total": "float", "priority": "text", "date": "timestamp", "quantity": "float", "returnflag": "text", "shipdate": "timestamp"}
+    return Collection(tags, attrs, rels, types=types)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> Collection:
@@ -147,6 +148,38 @@ def operations(events: DataFrame) -> DataFrame:
     )
 
 
+def histories(events: DataFrame) -> DataFrame:
+    """Events as a log with operations of every kind. A signup creates and makes a member; a purchase makes a buyer, sets a
+    value and relates the user to a part; an error takes the state away, and the implied tag account; a click sets the
+    state; a view writes content and ends the relation to a part, or deletes the user if its value is above 300."""
+    kind, part = F.col("event_type"), oid_column(NODES["part"], F.floor("value"))
+    types = dict(zip(VALUE_COLUMNS, ("string", "string", "long", "double", "long", "binary", "string"), strict=True))
+
+    def op(name: str, tag: str | None = None, key: str | None = None, target: Column | None = None, blob: bool = False, **values: Column) -> Column:
+        columns = {c: values.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()}
+        return F.struct(
+            F.lit(name).alias("op"), F.lit(tag).cast("string").alias("tag"), F.lit(key).cast("string").alias("key"), *columns.values(),
+            (F.lit(None).cast("long") if target is None else target).alias("target"),
+            (F.sha2(F.col("props"), 256) if blob else F.lit(None).cast("string")).alias("content_hash"),
+            (F.octet_length("props").cast("long") if blob else F.lit(None).cast("long")).alias("size"),
+        )
+
+    state = {"v_type": F.lit("text"), "v_text": F.lit("open")}
+    ops = (
+        F.when(kind == "signup", F.array(op("create"), op("add_tag", "member")))
+        .when(kind == "purchase", F.array(op("add_tag", "buyer"), op("set_attr", key="value", v_type=F.lit("float"), v_float=F.col("value")), op("add_relation", key="bought", target=part)))
+        .when(kind == "error", F.array(op("remove_attr", key="state", **state), op("remove_tag", "account")))
+        .when(kind == "click", F.array(op("set_attr", key="state", **state)))
+        .when((kind == "view") & (F.col("value") > 300), F.array(op("delete")))
+        .when(kind == "view", F.array(op("write_blob", blob=True), op("remove_relation", key="bought", target=part)))
+    )
+    rows = events.select("event_id", "ts", oid_column(NODES["users"], F.col("user_id")).alias("oid"), F.posexplode(ops).alias("nth", "o"))
+    return rows.select(
+        (F.col("event_id") * 4 + F.col("nth")).alias("lsn"), nanoseconds(F.col("ts")).alias("physical_ns"), F.lit(0).alias("logical"), F.lit(0).alias("node"),
+        "o.op", "oid", "o.tag", "o.key", *[f"o.{c}" for c in VALUE_COLUMNS], "o.target", "o.content_hash", "o.size",
+    )
+
+
 def user_ontology() -> Ontology:
     """Buyers and members are accounts."""
     m = Module("users", "1", "Users", [Tag("account"), Tag("member"), Tag("buyer"), Tag("errored"), Tag("value", "attribute", "float")])

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,117 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(want) > 100 and sorted(got, key=str) == sorted(want, key=str)
 
 
+def full_log(spark):
+    """All nine kinds of operations, an unknown one, replays, blobs, scoped paths, implied tags, relations and deletes."""
+    rng, rows = random.Random(5), []
+    values = [Value("int", 1), Value("int", 2), Value("float", 0.5), Value("text", "x"), Value("blob", b"\x00\xff"), Value("text", "a/b").scoped("web"), Value("text", "a").scoped("web"), Value("timestamp", 7)]
+    for n in range(900):
+        op = rng.choice(["create", "add_tag", "add_tag", "add_tag", "remove_tag", "remove_tag", "set_attr", "set_attr", "remove_attr", "add_relation", "remove_relation", "write_blob", "mystery"])
+        op = "delete" if n % 97 == 0 and n else op
+        r = {"op": op, "oid": rng.randrange(1, 30), "lsn": n, "physical_ns": 17 * 10**17 + n // 3 * 10**9, "logical": n % 3}
+        if op.endswith("tag"):
+            r["tag"] = rng.choice(["car", "truck", "vehicle", "thing", "loose"])
+        elif op.endswith("attr"):
+            v = rng.choice(values)
+            r |= {"key": "path" if v.context else rng.choice("kl")} | v.row()
+        elif op.endswith("relation"):
+            r |= {"key": "near", "target": rng.randrange(1, 4)}
+        rows.append(r)
+    return mutate.ops_table(spark, rows)
+
+
+FULL_SUBS = [
+    watch.Subscription(i + 1, f"f{i}", dsl.parse(q), retention=None, **how)
+    for i, (q, how) in enumerate([
+        ("(tag vehicle)", {}), ("(direct vehicle)", {}), ("(isa thing)", {"since": 300}), ("(not (tag car))", {}), ("(not (attr k = 1))", {}), ("(key l)", {}), ("(attr k != 2)", {}), ("(attr k > 0)", {}), ('(under path "a" "web")', {}),
+        ("(related near obj:0:2)", {}), ("(and (tag truck) (or (attr k = 0.5) (attr l = x)))", {"dormant": ((200, 400), (700, None))}), ("(and)", {}), ('(attr k like "%x")', {}),
+    ])
+]
+
+
+def test_subscriptions_agree_with_replaying_each_operation(spark):
+    """One pass over the log against a dictionary per object that is changed and asked again, operation by operation."""
+    o, log = Ontology().install(VEHICLES), full_log(spark)
+    got = watch.derive_all(log.unionByName(log.where("lsn % 5 = 0")), FULL_SUBS, o)
+    ops, want = sorted((r.asDict() for r in log.collect()), key=lambda r: (r["physical_ns"], r["logical"], r["lsn"])), []
+    state = {}
+    for r in ops:
+        s = state.setdefault(r["oid"], {"direct": {}, "gone": {}, "attrs": set(), "rels": set(), "dead": False, "n": 0})
+
+        def ask(q, s=s):
+            tags = set(s["direct"]) | {a for t, at in s["direct"].items() for a in (o.closure(t) if t in o.tags else {t}) if at > s["gone"].get(a, 0)}
+            return not s["dead"] and A.matches(q, A.View(tags, set(s["direct"]), list(s["attrs"]), s["rels"]), o.descendants)
+
+        before = [ask(x.query) for x in FULL_SUBS]
+        s["n"] += 1
+        op = r["op"]
+        if op == "delete":
+            s["dead"] = True
+        elif op == "add_tag":
+            s["direct"][r["tag"]] = s["n"]
+        elif op == "remove_tag":
+            s["direct"].pop(r["tag"], None)
+            s["gone"][r["tag"]] = s["n"]
+        elif op.endswith("attr"):
+            raw = next(r[c] for c in ("v_text", "v_int", "v_float", "v_ts", "v_blob") if r[c] is not None)
+            (s["attrs"].add if op == "set_attr" else s["attrs"].discard)((r["key"], Value(r["v_type"], bytes(raw) if r["v_type"] == "blob" else raw, r["v_ctx"])))
+        elif op.endswith("relation"):
+            (s["rels"].add if op == "add_relation" else s["rels"].discard)((r["key"], r["target"]))
+        for x, b in zip(FULL_SUBS, before, strict=True):
+            a, found = ask(x.query), []
+            named = {d for n in A.walk(x.query) if isinstance(n, A.HasTag | A.IsA) for d in o.descendants(n.tag)}
+            if not b and a:
+                found = ["Created" if op == "create" else "Entered"]
+            elif b and not a:
+                found = ["Deleted"] if op == "delete" else ["TagRemoved"] * (op == "remove_tag" and r["tag"] in named) + ["Exited"]
+            elif b and a:
+                found = {"add_tag": ["TagAdded"], "remove_tag": ["TagRemoved"], "set_attr": ["ContentChanged"], "remove_attr": ["ContentChanged"], "write_blob": ["ContentChanged"]}.get(op, [])
+            if x.sees_lsn(r["lsn"]):
+                want += [(x.id, r["lsn"], r["oid"], r["tag"] if k.startswith("Tag") else None, i, k) for i, k in enumerate(found)]
+    columns = ["sub_id", "lsn", "oid", "tag", "step", "kind"]
+    assert len({w[0] for w in want}) == len(FULL_SUBS) - 1 and {w[5] for w in want} == set(watch.EVENTS) - {"Created"}
+    assert sorted(rows(got.select(*columns)), key=str) == sorted(want, key=str)
+
+
+def test_stream_equals_batch_on_every_kind_with_replays(spark, tmp_path):
+    o, log = Ontology().install(VEHICLES), full_log(spark)
+    for low in range(0, 900, 300):  # each file replays the end of the one before it
+        log.where((F.col("lsn") >= low - 60) & (F.col("lsn") < low + 300)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    columns = ["sub_id", "lsn", "oid", "tag", "step", "kind"]
+    want = rows(watch.derive_all(log, FULL_SUBS, o).select(*columns))
+    for watermark in (None, "1 day"):
+        stream = spark.readStream.schema(mutate.OPS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        name = f"full_{watermark is None}"
+        q = watch_stream(stream, FULL_SUBS, o, watermark).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+        assert sorted(rows(spark.table(name).select(*columns)), key=str) == sorted(want, key=str)
+
+
+def test_poll_acknowledge_overflow_and_sleep(spark):
+    o, log = Ontology().install(VEHICLES), full_log(spark)
+    sub = watch.Subscription(1, "v", A.HasTag("vehicle"), retention=1000)
+    first, over = watch.poll(log, sub, o, 400)
+    again, _ = watch.poll(log, sub, o, 400)
+    assert not over and rows(first.select("lsn", "kind")) == rows(again.select("lsn", "kind")) and first.count() > 50
+    sub = sub.acknowledged(400)
+    rest, _ = watch.poll(log, sub, o, 899)
+    assert min(r.lsn for r in rest.collect()) > 400
+    small = watch.Subscription(1, "v", A.HasTag("vehicle"), retention=3, since=401)
+    diff, over = watch.poll(log, small, o, 899)
+    then, now = (set(ids(evaluate(small.query, mutate.fold(mutate.as_of(log, lsn=n), o)))) for n in (400, 899))
+    assert over and {(r.oid, r.kind) for r in diff.collect()} == {(i, "Entered") for i in now - then} | {(i, "Exited") for i in then - now}
+    held = watch.Register()
+    held.register("a", A.HasTag("car"))
+    held.register("b", A.And((A.IsA("thing"), A.HasAttr("k", "=", Value("int", 1)))))
+    held.change(1, "paused", 10)
+    held.change(1, "resumed", 20)
+    assert held.held[1].dormant == ((10, 20),) and not held.held[1].sees_lsn(15) and held.held[1].sees_lsn(20)
+    assert held.index(o) == {"car": {1}, None: {2}} and watch.Register.from_json(held.to_json()).held == held.held
+    two = [watch.Subscription(1, "v", A.HasTag("vehicle"), retention=5), watch.Subscription(2, "c", A.HasTag("car"), interest=watch.mask("Entered"), retention=1)]
+    assert {r.sub_id: r.n for r in watch.deliver(log, two, o).groupBy("sub_id").agg(F.count("*").alias("n")).collect()} == {1: 5, 2: 1}
+
+
 def test_relational(spark):
     rels = spark.createDataFrame([(1, "p", 2), (2, "p", 3), (3, "p", 1), (3, "p", 4), (9, "p", 1), (1, "q", 8)], "oid long, predicate string, target long")
     start = spark.createDataFrame([(1,)], "oid long")

@@ -212,3 +212,26 @@ def test_values_and_ids(spark):
     assert V.from_python(True) == Value("int", 1) and V.from_python([1]) == Value("text", "[1]")
     row = spark.range(1).select(V.node_of(V.oid_column(0xFFFF, V.F.lit(9))).alias("n"), V.local_of(V.oid_column(0xFFFF, V.F.lit(9))).alias("l")).first()
     assert (row.n, row.l) == (0xFFFF, 9)
+
+
+# ---- plans
+
+
+@pytest.mark.parametrize(
+    ("name", "table", "columns", "pushed"),
+    [("q_attr_eq_int", "part", "p_partkey p_size", "EqualTo(p_size,10)"), ("q_bucket", "documents", "doc_id n_chars", "IsNotNull(n_chars)"),
+     ("q_related", "orders", "o_orderkey o_custkey", "EqualTo(o_custkey,42)"), ("q_attr_range_multi", "lineitem", "l_orderkey l_quantity", "GreaterThanOrEqual(l_quantity,49.0)"),
+     ("q_facets_selection", "documents", "doc_id n_chars", "GreaterThan(n_chars,1000)"), ("q_prefix", "part", "p_partkey p_name", "StringStartsWith(p_name,red)")],
+)
+def test_filters_reach_the_scan_of_the_keys_column(spark, name, table, columns, pushed):
+    import re
+
+    from semlake import catalogue
+
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\].*?(\w+)\.parquet.*?PushedFilters: \[(.*?)\], ReadSchema", plan)
+    read = [({c.split("#")[0] for c in s[0].split(",")}, s[2]) for s in scans if s[1] == table]
+    assert any(c == set(columns.split()) and pushed in f for c, f in read)
+    assert not any("text" in c for c, _ in read)
+    if name in ("q_attr_eq_int", "q_related", "q_attr_range_multi", "q_bucket"):
+        assert len(scans) == 1

@@ -28,12 +28,12 @@ def test_chunks_of_every_text(spark, folder):
     size = 65_536
     chunks = [b[at : at + size] for b in ((t or "").encode() for t in TEXTS) for at in range(0, len(b), size)]
     expected = {(sha256(c).hexdigest(), n, len(c)) for c, n in Counter(chunks).items()}
-    got = catalogue.queries()["q_chunk_dedup_all"](spark, folder).select("hash", "ref_count", "length").collect()
+    got = catalogue.queries()["q_chunk_dedup"](spark, folder).select("hash", "ref_count", "length").collect()
     assert len(got) == len(expected) and {tuple(r) for r in got} == expected
 
 
 def test_pipeline_of_every_text(spark, folder):
-    got = {r.oid: r for r in catalogue.queries()["q_content_pipeline_all"](spark, folder).collect()}
+    got = {r.oid: r for r in catalogue.queries()["q_content_pipeline"](spark, folder).collect()}
     assert len(got) == len(TEXTS)
     for n, t in enumerate(TEXTS):
         r, b = got[oid(5, n)], None if t is None else t.encode()
