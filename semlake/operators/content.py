@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,15 +114,43 @@ def release(index: DataFrame, released: DataFrame) -> DataFrame:
     return left.where("ref_count > 0").drop("gone")
 
 
-def place(c: Collection, rules: Sequence[tuple[str, str, A.Query]], default: str) -> DataFrame:
-    """(oid, rule, target) for every tagged object: the rule (kind, target, query) of the highest precedence that holds,
-    the earlier one among equals, else the default. All rules are flags of one pass over the assertions."""
-    order = sorted(range(len(rules)), key=lambda n: (TIERS.index(rules[n][0]), n))
-    found = memberships([A.Not(A.Or()), *[rules[n][2] for n in order]], c).where("q0")
-    first: Column = F.struct(F.lit("default").alias("rule"), F.lit(default).alias("target"))
-    for i, n in reversed(list(enumerate(order))):
-        first = F.when(F.col(f"q{i + 1}"), F.struct(F.lit(rules[n][0]).alias("rule"), F.lit(rules[n][1]).alias("target"))).otherwise(first)
-    return found.select("oid", first.alias("r")).select("oid", "r.rule", "r.target")
+def _first_match(c: Collection, queries: Sequence[A.Query]) -> tuple[DataFrame, Column]:
+    """Tagged objects, and the place of the first query that holds for each, else null; one pass for all queries."""
+    found = memberships([A.Not(A.Or()), *queries], c).where("q0")
+    first = F.lit(None).cast("int")
+    for i in reversed(range(len(queries))):
+        first = F.when(F.col(f"q{i + 1}"), F.lit(i)).otherwise(first)
+    return found, first
+
+
+def place(c: Collection, rules: Sequence[tuple], default: str) -> DataFrame:
+    """(oid, rule, target) for every tagged object: the rule (kind, target, query[, priority]) of the highest precedence that
+    holds, the one of higher priority and then the earlier one among equals, else the default. All rules are flags of one
+    pass over the assertions."""
+    order = sorted(range(len(rules)), key=lambda n: (TIERS.index(rules[n][0]), -(rules[n][3] if len(rules[n]) > 3 else 0), n))
+    found, first = _first_match(c, [rules[n][2] for n in order])
+    known = [F.struct(F.lit(rules[n][0]).alias("rule"), F.lit(rules[n][1]).alias("target")) for n in order]
+    known.append(F.struct(F.lit("default").alias("rule"), F.lit(default).alias("target")))
+    made = F.element_at(F.array(*known), F.coalesce(first, F.lit(len(order))) + 1)
+    return found.select("oid", made.alias("r")).select("oid", "r.rule", "r.target")
+
+
+def chunking_of(c: Collection, rules: Sequence[tuple[dict, A.Query]], default: dict) -> DataFrame:
+    """(oid, params): the chunking (a map of names to texts) of the first Chunk rule (params, query) that holds."""
+    found, first = _first_match(c, [q for _, q in rules])
+    maps = [F.create_map(*[F.lit(str(x)) for pair in p.items() for x in pair]) for p in (*[p for p, _ in rules], default)]
+    return found.select("oid", F.element_at(F.array(*maps), F.coalesce(first, F.lit(len(rules))) + 1).alias("params"))
+
+
+def colocated(c: Collection, queries: Sequence[A.Query], disks: DataFrame) -> DataFrame:
+    """(oid, rule, disk_id) for objects that Colocate rules hold together, the first rule that holds deciding: all of a rule
+    are on one online disk, rules being dealt to disks by free room, most first."""
+    found, first = _first_match(c, queries)
+    online = disks.where("state = 'online'").orderBy(F.desc(F.col("capacity") - F.col("used")), "disk_id").limit(max(1, len(queries))).collect()
+    if not online:
+        raise ContentError("no disk is online")
+    ids = F.array(*[F.lit(online[i % len(online)].disk_id) for i in range(len(queries))])
+    return found.select("oid", first.alias("rule")).where("rule is not null").select("oid", "rule", F.element_at(ids, F.col("rule") + 1).alias("disk_id"))
 
 
 def pool_status(disks: DataFrame) -> DataFrame:
@@ -136,16 +167,55 @@ def pick_disk(disks: DataFrame, tier: str) -> DataFrame:
     return disks.where((F.col("tier") == tier) & (F.col("state") == "online")).orderBy(F.desc(free), "disk_id").limit(1)
 
 
+#: A random word for each byte, by a rule; a gear hash adds them up, one bit further for each byte.
+GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([i])).digest()[:4], "little") for i in range(256)], np.uint32)
+
+
 def cut_points(data: bytes, least: int, most: int, mask: int) -> list[int]:
-    """Content-defined ends of chunks: where a rolling hash has the mask's bits clear, between least and most bytes."""
-    ends, start, h = [], 0, 0
-    for i, byte in enumerate(data):
-        h = ((h << 1) + (byte + 1) * 0x9E3779B1) & 0xFFFFFFFF
-        n = i + 1 - start
-        if n >= most or (n >= least and not h & mask):
-            ends.append(i + 1)
-            start, h = i + 1, 0
-    return ends + [len(data)] * (start < len(data))
+    """Content-defined ends of chunks: where the gear hash of the 32 bytes up to there has the mask's bits clear, between
+    least and most bytes after the last end."""
+    raw = np.frombuffer(data, np.uint8)
+    ends, start, step = [], 0, 1 << 20
+    cuts = []
+    for at in range(0, len(raw), step):  # a part at a time, with the 31 bytes before it
+        word = GEAR[raw[max(0, at - 31) : at + step]]
+        h = np.zeros(len(word), np.uint32)
+        for k in range(min(32, len(word))):
+            h[k:] += word[: len(word) - k] << np.uint32(k)
+        cuts.append(np.flatnonzero((h[at - max(0, at - 31) :] & np.uint32(mask)) == 0) + at + 1)
+    cuts = np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
+    while len(raw) - start > least:
+        i = int(np.searchsorted(cuts, start + least))
+        end = min(int(cuts[i]) if i < len(cuts) else len(raw), start + most, len(raw))
+        ends.append(end)
+        start = end
+    return ends + [len(raw)] * (start < len(raw))
+
+
+def cdc_chunks(blobs: DataFrame, least: int = 16 << 10, average: int = 64 << 10, most: int = 256 << 10) -> DataFrame:
+    """(oid, seq, hash, length) of (oid, data): content-defined pieces, so that an insertion changes only the pieces near it.
+    Pieces are between least and most bytes long, but for the last; no content, no chunk."""
+    mask = (1 << max(1, round(math.log2(max(2, average - least))))) - 1
+    schema = pa.schema([("oid", pa.int64()), ("seq", pa.int32()), ("hash", pa.string()), ("length", pa.int64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for i in range(b.num_rows):
+                data = b.column(1)[i].as_py() or b""
+                ends = cut_points(data, least, most, mask)
+                pieces = [data[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+                columns = [[b.column(0)[i].as_py()] * len(ends), list(range(len(ends))), [hashlib.sha256(p).hexdigest() for p in pieces], list(map(len, pieces))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return blobs.select("oid", F.col("data").cast("binary").alias("data")).mapInArrow(run, "oid long, seq int, hash string, length long")
+
+
+def presence(objects: DataFrame, held: DataFrame) -> DataFrame:
+    """(oid, presence) of objects (oid, content_hash) on a node that holds contents (content_hash, state): as the state says
+    (cached, hydrating, partial), local where it says nothing else, remote where the node has none; null without content."""
+    own = held.groupBy("content_hash").agg(F.min("state").alias("state"), F.lit(True).alias("here"))
+    state = F.when(F.col("content_hash").isNull(), None).when(F.col("here").isNull(), "remote").otherwise(F.coalesce("state", F.lit("local")))
+    return objects.join(own, "content_hash", "left").select("oid", state.alias("presence"))
 
 
 def policy_of_objects(tags: DataFrame, ontology) -> DataFrame:  # noqa: ANN001

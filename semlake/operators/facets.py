@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semlake.plans import algebra as A
 from semlake.plans.compile import Collection, evaluate
+from semlake.storage import numbered_within, table
 
 
 def facets(tags: DataFrame, selection: DataFrame | None = None, k: int | None = None) -> DataFrame:
@@ -89,20 +91,62 @@ STRIDE = 1 << 20
 
 def upgrade_to_ordered(members: DataFrame) -> DataFrame:
     """(tag, oid, pos): members of tags in ascending id order, with room between positions."""
-    return members.select("tag", "oid", (F.row_number().over(Window.partitionBy("tag").orderBy("oid")) * STRIDE).cast("long").alias("pos"))
+    return numbered_within(members.select("tag", "oid"), "tag", ["oid"], "nth").select("tag", "oid", (F.col("nth") * STRIDE).alias("pos"))
 
 
 def push_ordered(collection: DataFrame, added: DataFrame) -> DataFrame:
     """Append (tag, oid, seq) in the order of seq, repeated members included."""
     last = collection.groupBy("tag").agg(F.max("pos").alias("last"))
-    nth = F.row_number().over(Window.partitionBy("tag").orderBy("seq"))
-    new = added.join(last, "tag", "left").select("tag", "oid", (F.coalesce("last", F.lit(0)) + nth * STRIDE).cast("long").alias("pos"))
+    new = numbered_within(added.select("tag", "oid", "seq"), "tag", ["seq"], "nth").join(last, "tag", "left")
+    new = new.select("tag", "oid", (F.coalesce("last", F.lit(0)) + F.col("nth") * STRIDE).cast("long").alias("pos"))
     return collection.select("tag", "oid", "pos").unionByName(new)
 
 
 def renumbered(collection: DataFrame) -> DataFrame:
     """The same order with even room, for when neighbours have come together."""
-    return collection.select("tag", "oid", (F.row_number().over(Window.partitionBy("tag").orderBy("pos")) * STRIDE).cast("long").alias("pos"))
+    return numbered_within(collection.select("tag", "oid", "pos"), "tag", ["pos"], "nth").select("tag", "oid", (F.col("nth") * STRIDE).alias("pos"))
+
+
+def insert_ordered(collection: DataFrame, added: DataFrame) -> DataFrame:
+    """Insert (tag, oid, after, seq) behind the first place of the member ``after`` (null: at the beginning), several at one
+    place in the order of seq, midway between the neighbours; collections without the room are given even positions first.
+    A place that isn't there is refused."""
+    added = added.withColumn("place", F.concat_ws("/", F.coalesce(F.col("after").cast("string"), F.lit("first")), "tag"))
+    wanted = numbered_within(added.select("tag", "oid", "after", "seq", "place"), "place", ["seq"], "k")
+    wanted = wanted.join(wanted.groupBy("place").agg(F.count(F.lit(1)).alias("m")), "place")
+
+    def gaps(c: DataFrame) -> DataFrame:
+        nth = numbered_within(c.select("tag", "oid", "pos"), "tag", ["pos"], "nth")
+        follows = nth.select("tag", (F.col("nth") - 1).alias("nth"), F.col("pos").alias("next"))
+        first = nth.groupBy("tag", F.col("oid").alias("after")).agg(F.min(F.struct("nth", "pos")).alias("at"))
+        places = first.select("tag", "after", "at.nth", "at.pos").unionByName(
+            nth.select("tag").distinct().select("tag", F.lit(None).cast("long").alias("after"), F.lit(0).cast("long").alias("nth"), F.lit(0).cast("long").alias("pos"))
+        )
+        places = places.join(follows, ["tag", "nth"], "left").select(F.col("tag").alias("t"), F.col("after").alias("a"), "pos", F.coalesce("next", F.col("pos") + 2 * STRIDE).alias("next"))
+        here = (F.col("tag") == F.col("t")) & F.col("after").eqNullSafe(F.col("a"))
+        return table(wanted.join(places, here, "left").select("tag", "oid", "after", "k", "m", "pos", "next"), "gaps")
+
+    found = gaps(collection)
+    if not found.where("pos is null").isEmpty():
+        raise ValueError("no such member to insert behind")
+    if not found.where("next - pos <= m").isEmpty():
+        collection = table(renumbered(collection), "collection")
+        found = gaps(collection)
+    new = found.select("tag", "oid", F.expr("pos + ((next - pos) * k) div (m + 1)").alias("pos"))
+    return collection.select("tag", "oid", "pos").unionByName(new)
+
+
+def upgrade_to_ranked(members: DataFrame) -> DataFrame:
+    """(tag, oid, score, seq): members of tags in ascending id order, all with score 0."""
+    return numbered_within(members.select("tag", "oid"), "tag", ["oid"], "seq").select("tag", "oid", F.lit(0).cast("long").alias("score"), "seq")
+
+
+def insert_ranked(collection: DataFrame, added: DataFrame) -> DataFrame:
+    """Add (tag, oid, score, seq) in the order of seq, behind what is there: ties are read in insertion order."""
+    last = collection.groupBy("tag").agg(F.max("seq").alias("last"))
+    new = numbered_within(added.select("tag", "oid", "score", "seq"), "tag", ["seq"], "nth").join(last, "tag", "left")
+    new = new.select("tag", "oid", F.col("score").cast("long").alias("score"), (F.coalesce("last", F.lit(0)) + F.col("nth")).alias("seq"))
+    return collection.select("tag", "oid", "score", "seq").unionByName(new)
 
 
 def ranked(collection: DataFrame, tag: str, k: int | None = None) -> DataFrame:
@@ -113,3 +157,22 @@ def ranked(collection: DataFrame, tag: str, k: int | None = None) -> DataFrame:
 
 def without_members(collection: DataFrame, gone: DataFrame) -> DataFrame:
     return collection.join(gone.select("tag", "oid"), ["tag", "oid"], "left_anti")
+
+
+def tag_summary(c: Collection) -> DataFrame:
+    """(tag, n, direct): tags by how many objects have them, most first."""
+    n = c.tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("origin") == "direct", 1)).alias("direct"))
+    return n.orderBy(F.desc("n"), "tag")
+
+
+def without_context(attrs: DataFrame, key: str) -> DataFrame:
+    """(oid, path): every path of an object, whatever its context; an object may have several."""
+    return attrs.where((F.col("key") == key) & (F.col("v_type") == "text")).select("oid", F.col("v_text").alias("path")).distinct()
+
+
+def visible_to(c: Collection, allowed: A.Query) -> Collection:
+    """The collection as a caller sees it who may see only the objects of a query: results, counts, facets and universes
+    are taken within it."""
+    seen = evaluate(allowed, c)
+    within = lambda df: None if df is None else df.join(seen, "oid", "left_semi")
+    return replace(c, tags=within(c.tags), attrs=within(c.attrs), rels=within(c.rels), objects=within(c.objects))

@@ -106,6 +106,19 @@ def test_facets_and_collections(spark):
     pushed = facets.push_ordered(seq, spark.createDataFrame([("1", 3, 0), ("1", 77, 1), ("new", 5, 0)], "tag string, oid long, seq long"))
     assert [r.oid for r in pushed.where("tag = '1'").orderBy("pos").collect()] == [1, 2, 3, 4, 5, 3, 77]
     assert [r.oid for r in facets.renumbered(pushed).where("tag = '1'").orderBy("pos").collect()] == [1, 2, 3, 4, 5, 3, 77]
+    between = facets.insert_ordered(seq, spark.createDataFrame([("1", 50, 2, 0), ("1", 51, 2, 1), ("1", 52, None, 0), ("1", 53, 5, 0)], "tag string, oid long, after long, seq long"))
+    assert [r.oid for r in between.orderBy("pos").collect()] == [52, 1, 2, 50, 51, 3, 4, 5, 53]
+    tight = spark.createDataFrame([("t", 1, 1), ("t", 2, 2), ("t", 3, 3)], "tag string, oid long, pos long")
+    assert [r.oid for r in facets.insert_ordered(tight, spark.createDataFrame([("t", 9, 2, 0)], "tag string, oid long, after long, seq long")).orderBy("pos").collect()] == [1, 2, 9, 3]
+    with pytest.raises(ValueError):
+        facets.insert_ordered(tight, spark.createDataFrame([("t", 9, 77, 0)], "tag string, oid long, after long, seq long"))
+    board = facets.insert_ranked(facets.upgrade_to_ranked(tags.where("tag = '2'")), spark.createDataFrame([("2", 8, 4, 0), ("2", 9, 0, 1), ("2", 7, -1, 2)], "tag string, oid long, score long, seq long"))
+    assert [(r.oid, r.score) for r in facets.ranked(board, "2").collect()] == [(8, 4), (2, 0), (3, 0), (9, 0), (7, -1)]
+    part = facets.visible_to(c, A.HasTag("2"))
+    assert [tuple(r) for r in facets.facets(part.tags).collect()] == [("1", 2), ("2", 2), ("3", 1)] and ids(evaluate(A.Not(A.HasTag("3")), part)) == [2]
+    many = spark.range(5000).select(F.when(F.col("id") % 7 == 0, "b").otherwise("a").alias("tag"), F.col("id").alias("oid"))
+    own = {t: [r.oid for r in facets.upgrade_to_ordered(many).where(F.col("tag") == t).orderBy("pos").collect()] for t in "ab"}
+    assert own == {"a": [i for i in range(5000) if i % 7], "b": list(range(0, 5000, 7))} and facets.upgrade_to_ordered(many).agg(F.max("pos")).first()[0] == (5000 - 715) * facets.STRIDE
     gone = spark.createDataFrame([("1", 3)], "tag string, oid long")
     assert 3 not in ids(facets.without_members(pushed, gone))
     scored = spark.createDataFrame([("t", 1, 5, 0), ("t", 2, 9, 1), ("t", 3, 5, 2), ("u", 4, 99, 3)], "tag string, oid long, score long, seq long")
@@ -332,43 +345,76 @@ def test_content(spark):
     one = content.fixed_chunks(blobs.where("oid = 1"), 999).select("hash")
     assert sorted((r.ref_count, r.length) for r in content.release(index, one).collect()) == [(1, 1), (1, 3), (3, 999)]
     assert [r[0] for r in spark.createDataFrame([(0,), (1,), (4096,), (4097,)], "n long").select(content.padded_length(F.col("n"))).collect()] == [0, 4096, 4096, 8192]
-    ends = content.cut_points(bytes(range(256)) * 40, 64, 1024, 0xFF)
+    data = random.Random(1).randbytes(3_000_000)
+    ends = content.cut_points(data, 64, 1024, 0xFF)
     sizes = [b - a for a, b in zip([0, *ends], ends)]
-    assert ends[-1] == 10240 and all(64 <= n <= 1024 for n in sizes[:-1])
+    assert ends[-1] == 3_000_000 and all(64 <= n <= 1024 for n in sizes[:-1])
+    slow, start = [], 0  # byte by byte
+    for i in range(20_000):
+        h = sum(int(content.GEAR[data[i - k]]) << k for k in range(min(32, i + 1))) & 0xFFFFFFFF
+        if i + 1 - start >= 1024 or (i + 1 - start >= 64 and not h & 0xFF):
+            slow.append(i + 1)
+            start = i + 1
+    assert ends[: len(slow)] == slow
+    two = spark.createDataFrame([(1, data), (2, data[:1_000_000] + b"inserted" + data[1_000_000:]), (3, b""), (4, None), (5, b"z")], "oid long, data binary")
+    cdc = content.cdc_chunks(two, 1 << 12, 1 << 14, 1 << 16)
+    shared = content.chunk_index(cdc).where("ref_count = 2").agg(F.sum("length")).first()[0]
+    assert shared > 2_800_000 and cdc.groupBy("oid").agg(F.sum("length").alias("n")).orderBy("oid").select("n").toPandas().n.tolist() == [3_000_000, 3_000_008, 1]
     disks = spark.createDataFrame([(1, "ssd", 10, 4, "online"), (2, "ssd", 10, 4, "online"), (3, "ssd", 99, 0, "faulted"), (4, "hdd", 5, 5, "online")], "disk_id int, tier string, capacity long, used long, state string")
     assert content.pick_disk(disks, "ssd").first().disk_id == 1
+    c = Collection(spark.createDataFrame([(1, "a", "direct"), (1, "b", "direct"), (2, "b", "direct"), (3, "c", "direct")], "oid long, tag string, origin string"))
+    rules = [("prefer", "hdd", A.HasTag("a"), 1), ("prefer", "ssd", A.HasTag("b"), 5), ("pin", "nvme", A.HasTag("c"))]
+    assert rows(content.place(c, rules, "hdd")) == [(1, "prefer", "ssd"), (2, "prefer", "ssd"), (3, "pin", "nvme")]
+    assert [(r.oid, r.params["algo"]) for r in content.chunking_of(c, [({"algo": "cdc"}, A.HasTag("a"))], {"algo": "none"}).orderBy("oid").collect()] == [(1, "cdc"), (2, "none"), (3, "none")]
+    assert rows(content.colocated(c, [A.HasTag("a"), A.HasTag("b")], disks)) == [(1, 0, 1), (2, 1, 2)]
+    known = content.presence(spark.createDataFrame([(1, "h"), (2, "x"), (3, None), (4, "p")], "oid long, content_hash string"), spark.createDataFrame([("h", None), ("p", "partial")], "content_hash string, state string"))
+    assert rows(known) == [(1, "local"), (2, "remote"), (3, None), (4, "partial")]
     assert rows(content.pool_status(disks)) == [("hdd", 1, 5, 5, []), ("ssd", 3, 119, 8, [3])]
 
 
-MUSIC = """
+SHELF = """
 [[objects]]
-tags = ["electronic", "ambient", "favorite"]
+tags = ["novel", "poem", "loved"]
 [objects.attrs]
-artist = "Aphex Twin"
-year = 1992
+author = "Ada Stone"
+year = 1931
 [[objects]]
-tags = ["electronic"]
+tags = ["novel"]
 [objects.attrs]
-year = 1998
+year = 1948
 [[generate]]
-name = "tracks"
+name = "reprints"
 count = 3
-content_type = "music"
-tags = ["ambient"]
+content_type = "text"
+min_size = 50
+max_size = 90
+tags = ["poem"]
 [generate.attrs]
-artist = "Synth Artist {seq}"
+author = "{type} author {seq}"
+[[generate]]
+name = "scans"
+count = 2
+content_type = "music"
+min_size = 1000
+max_size = 1000
 """
 
 
 def test_manifest(spark):
-    o = Ontology().install(Module("music", "1", "m", [Tag("electronic"), Tag("ambient"), Tag("media")], [("ambient", "electronic"), ("electronic", "media")]))
-    ops, o = files.load_manifest(spark, MUSIC, ontology=o)
+    o = Ontology().install(Module("shelf", "1", "m", [Tag("novel"), Tag("poem"), Tag("book")], [("poem", "novel"), ("novel", "book")]))
+    ops, o = files.load_manifest(spark, SHELF, ontology=o)
     c = mutate.fold(ops, o)
     ask = lambda text: ids(evaluate(dsl.parse(text, o.resolve), c))
-    assert ask("(tag electronic)") == [1, 2, 3, 4, 5] and ask("(isa media)") == [1, 2, 3, 4, 5]
-    assert ask('(attr artist = "Synth Artist 1")') == [4] and ask("(and (tag electronic) (not (tag ambient)))") == [2]
-    with pytest.raises(files.ManifestError):
-        files.load_manifest(spark, "surprise = 1")
+    assert ask("(tag novel)") == [1, 2, 3, 4, 5] and ask("(isa book)") == [1, 2, 3, 4, 5] and c.objects.count() == 7
+    assert ask('(attr author = "text author 1")') == [4] and ask("(and (tag novel) (not (tag poem)))") == [2]
+    made = {r.oid: bytes(r.data) for r in files.manifest_contents(spark, SHELF).collect()}
+    assert sorted(made) == [3, 4, 5, 6, 7] and all(50 <= len(made[i]) <= 90 for i in (3, 4, 5)) and len(made[6]) == len(made[7]) == 1000
+    assert made == {r.oid: bytes(r.data) for r in files.manifest_contents(spark, SHELF).collect()} and made[3].decode().split()[0] and made[6] != made[7]
+    for bad in ("surprise = 1", "[[objects]]\nsize = 3", "[[generate]]\ncount = 1\nweight = 3", "[[generate]]\ntags = []", "[[generate]]\ncount = 1\nmin_size = 9\nmax_size = 3"):
+        with pytest.raises(files.ManifestError):
+            files.load_manifest(spark, bad)
+    big, _ = files.load_manifest(spark, '[[generate]]\ncount = 5000000\ntags = ["x"]\n')
+    assert "Range" in big._jdf.queryExecution().toString() and big.where("oid = 4999999").count() == 2
 
 
 def test_import_and_synthetic(spark, tmp_path):
@@ -381,6 +427,22 @@ def test_import_and_synthetic(spark, tmp_path):
     assert sorted(r.blob_length for r in found.collect()) == [3, 3]
     done = files.export(spark.createDataFrame([("x/y.bin", b"123")], "path string, data binary"), str(tmp_path / "out"))
     assert rows(done) == [("x/y.bin", 3)] and (tmp_path / "out/x/y.bin").read_bytes() == b"123"
+    (tmp_path / "in/link.txt").symlink_to("a.txt")
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "elsewhere/c.txt").write_text("three")
+    (tmp_path / "in/way").symlink_to(tmp_path / "elsewhere")
+    names = lambda attrs: [r.path for r in paths.tree(paths.paths(attrs, "home")).collect()]
+    assert "link.txt" in names(files.import_directory(spark, str(tmp_path / "in"), "home")[1])
+    assert names(files.import_directory(spark, str(tmp_path / "in"), "home", links="skip")[1]) == ["a.txt", "sub/b.txt"]
+    found, attrs = files.import_directory(spark, str(tmp_path / "in"), "home", links="record")
+    assert names(attrs) == ["a.txt", "link.txt", "sub/b.txt"] and [r.v_text for r in attrs.where("key = 'link-target'").collect()] == ["a.txt"]
+    assert [r.blob_length for r in found.orderBy("oid").collect()] == [3, None, 3]
+    projected = spark.createDataFrame([(1, "p/q.bin"), (2, "r.bin")], "oid long, path string")
+    plan = files.export_plan(projected, spark.createDataFrame([(1, "h1"), (2, "h2"), (3, "h3")], "oid long, content_hash string"))
+    held = spark.createDataFrame([("h1", b"1"), ("h2", b"22")], "content_hash string, data binary")
+    assert rows(files.execute_export(plan, held, str(tmp_path / "tree")).select("path", "bytes")) == [("p/q.bin", 1), ("r.bin", 2)] and (tmp_path / "tree/r.bin").read_bytes() == b"22"
+    with pytest.raises(files.MissingContent):
+        files.execute_export(plan, held.limit(1), str(tmp_path / "none")).collect()
     tags, made = files.synthetic(spark, 50, ["a", "b", "c"], {"year": (1990, 2000)}, seed=2)
     assert rows(tags) == rows(files.synthetic(spark, 50, ["a", "b", "c"], {"year": (1990, 2000)}, seed=2)[0])
     assert made.count() == 50 and all(1990 <= r.v_int <= 2000 for r in made.collect())
