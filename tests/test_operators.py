@@ -472,8 +472,34 @@ def test_command_line(spark, tmp_path):
     do("project", "create-context", "web")
     do("project", "set-path", "web", "obj:4", "a/b")
     assert do("project", "tree", "web") == "a/b\tobj:0:4" and do("info", "obj:99") == 1
+    assert do("project", "export", "web", str(tmp_path / "none")) == 1 and do("project", "export", "ghost", "x") == 1  # no content, no context
+    (tmp_path / "blob").write_bytes(b"bytes")
+    do("put", "obj:4", str(tmp_path / "blob"))
+    assert do("project", "export", "web", str(tmp_path / "tree")).startswith("exported 1 objects") and (tmp_path / "tree/a/b").read_bytes() == b"bytes"
+    assert do("project", "export", "web", str(tmp_path / "one/x"), "--oid", "obj:4").startswith("wrote 5 bytes") and (tmp_path / "one/x").read_bytes() == b"bytes"
+    assert do("project", "export", "web", str(tmp_path / "two"), "--oid", "obj:1") == 1
+    assert [json.loads(x)["kind"] for x in do("watch", "stream", "1").splitlines()] == ["ContentChanged"] * 2 and do("watch", "stream", "1") == ""
     do("delete", "obj:4")
+    assert [json.loads(x)["kind"] for x in do("watch", "stream", "1").splitlines()] == ["Deleted"]
+    assert do("project", "export", "web", str(tmp_path / "three")).startswith("exported 0 objects") and (tmp_path / "three").is_dir()
     assert do("sql", "SELECT COUNT(*) FROM objects") == "3"
+    (tmp_path / "bad.toml").write_text("surprise = 1")
+    (tmp_path / "worse.toml").write_text("[[[")
+    assert [do(*x) for x in (("populate", str(tmp_path / "bad.toml")), ("populate", str(tmp_path / "worse.toml")), ("populate", "nowhere.toml"), ("ontology", "install", str(module)), ("ontology", "remove", "ghost"))] == [1] * 5
+    (tmp_path / "files/sub").mkdir(parents=True)
+    (tmp_path / "files/sub/f.txt").write_text("file")
+    (tmp_path / "files/l.txt").symlink_to("sub/f.txt")
+    do("project", "create-context", "disk")
+    assert do("project", "import", "disk", str(tmp_path / "files"), "--links", "skip") == "1 files"
+    assert do("project", "tree", "disk") == "sub/f.txt\tobj:0:5" and do("project", "export", "disk", str(tmp_path / "back")).startswith("exported 1") and (tmp_path / "back/sub/f.txt").read_text() == "file"
+    shelf = tmp_path / "shelf.toml"
+    shelf.write_text(SHELF)
+    assert do("populate", str(shelf)).startswith("7 objects") and do("query", "(tag poem)").splitlines()[-1] == "(4 results)"
+    assert do("sql", "SELECT COUNT(*) FROM objects WHERE author LIKE 'text author _'") == "3" and "blob_length=1000" in do("info", "obj:11")
+    assert do("sql", "SELECT author FROM objects WHERE year = 1931").splitlines() == ["['Ada Stone']"]
+    told = json.loads(do("analyze", "--json", "--top", "3"))
+    assert told["objects"] == {"active": 11, "tombstoned": 1} and told["tags"][0]["n"] == 4 and told["implications"] == [["song", "media"]] and len(told["oplog"]) == 3
+    assert do("analyze").splitlines()[0].startswith("lsn: ")
     lines = io.StringIO()
-    cli.repl(cli.Store(spark, str(tmp_path / "store")), [".tables\n", "SELECT nonsense;\n", "SELECT COUNT(*)\n", "FROM objects;\n", ".quit\n"], lines)
+    cli.repl(cli.Store(spark, str(tmp_path / "store")), [".tables\n", "SELECT nonsense;\n", "SELECT COUNT(*)\n", "FROM objects WHERE tag = 'song';\n", ".quit\n"], lines)
     assert lines.getvalue().splitlines()[0] == "objects" and "error" in lines.getvalue() and lines.getvalue().strip().endswith("3")
