@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semlake.storage import drop_table, shared_dir, table
 
-__all__ = ["components", "drop_table", "global_prefix", "join_hot", "pick_rows", "prefix_within", "shared_dir", "table", "text_key"]
+__all__ = ["components", "drop_table", "global_prefix", "join_hot", "pick_rows", "prefix_within", "release", "shared_dir", "table", "text_key"]
 
 #: A key holding at least one row in HOT_PARTS is hot; so there are at most HOT_PARTS hot keys, whatever the data.
 HOT_PARTS = 1000
@@ -90,6 +93,15 @@ def global_prefix(df: DataFrame, order: Sequence[str], add: Sequence[str]) -> Da
     return out.drop("__range")
 
 
+def release() -> None:
+    """Hand memory that the driver's Python no longer uses back to the system, after arrays that were large for a while."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pick_rows(docs: DataFrame, row: Column, winners: DataFrame, several: DataFrame) -> DataFrame:
     """The rows of docs whose name (``row``) is in winners (__row, distinct), each name once. several: (__row) of the names
     that more than one row of docs has; of those the one with the smallest hash over all columns stays, found before rows

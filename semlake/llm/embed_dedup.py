@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semlake.llm.common import components, join_hot, table
+from semlake.llm.common import components, join_hot, release, table
 from semlake.llm.textblock import components_of
 
 COSINE = 0.9
@@ -187,6 +187,7 @@ def near_duplicates(
         return _finish(vectors, rows, equal, None)
     known = fitted(some, step, cosine, slack)
     del some
+    release()
     kind = np.float32 if small else np.float64
 
     def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

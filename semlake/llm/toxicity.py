@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semlake.llm import textblock
-from semlake.llm.common import table
+from semlake.llm.common import release, table
 
 #: Bounds of the training sample: confirmed toxic texts and unlabelled texts, of any length.
 POSITIVES, UNLABELLED = 3000, 6000
@@ -92,15 +92,18 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive:
         return Model(np.zeros(FEATURES), 0.0, trained=False)
     n_p, n_u = len(positive), max(1, len(unlabelled))
-    in_p, in_u = np.zeros(FEATURES), np.zeros(FEATURES)
-    for total, some in ((in_p, positive), (in_u, unlabelled)):
+    counts = np.zeros((2, FEATURES), np.int32)
+    for k, some in enumerate((positive, unlabelled)):
         for x in some:
-            total[x] += 1
+            counts[k, x] += 1
+    often = np.flatnonzero(counts.sum(axis=0) >= 4)
+    in_p, in_u = counts[:, often].astype(float)
+    del counts
     share = (in_p + in_u) / (n_p + n_u)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-9)
-    chosen = np.flatnonzero((np.abs(z) >= 4) & (in_p + in_u >= 4))
-    place = np.full(FEATURES, -1)
-    place[chosen] = np.arange(len(chosen))
+    chosen = often[np.abs(z) >= 4]
+    place = np.full(FEATURES, -1, np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
     texts = [place[x][place[x] >= 0] for x in (*positive, *unlabelled)]
     sizes = np.array([len(x) for x in texts])
     begins = np.concatenate([[0], np.cumsum(sizes)])
@@ -185,7 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         at = c.offsets.to_numpy() - c.offsets[0].as_py()
         each += np.split(c.flatten().to_numpy(), at[1:-1])
     each = [each[i] for i in order]
-    return fit([x for k, x in zip(y, each, strict=True) if k == 1], [x for k, x in zip(y, each, strict=True) if k == 0], prior)
+    del parts
+    made = fit([x for k, x in zip(y, each, strict=True) if k == 1], [x for k, x in zip(y, each, strict=True) if k == 0], prior)
+    del each
+    release()
+    return made
 
 
 def score(text: Column, model: Model) -> Column:
