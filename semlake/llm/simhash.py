@@ -428,21 +428,22 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     nodes = clusters.groupBy("fp", "node", "root").agg(F.min(order).alias("k"), F.min_by("few", order).alias("few"))
     nodes = table(nodes.drop("fp"), "nodes")
-    # What lies near a cluster's first text is checked against it; what fails gets a name that no node has.
-    firsts = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", "k").alias("first")).where("n > 1")
-    checked = nodes.join(firsts, "root").select(F.col("root").alias("cluster"), "node", (F.col("node") == F.col("first")).alias("first"), "k.doc_id", "k.text_key")
-    far = table(unlike(table(shingle_sets(docs, checked, ["cluster", "node", "first"], k), "members"), similarity), "unlike")
-    nodes = nodes.join(far.withColumn("far", F.lit(True)), "node", "left")
-    nodes = table(nodes.withColumn("cluster", F.when(F.col("far"), -1 - F.col("node")).otherwise(F.col("root"))).drop("far", "root"), "nodes")
     near = found.where("level = 1").select("u", "v").unionByName(short_links(nodes, similarity))
-    loose = components(near).withColumnRenamed("root", "loose")
-    loose = table(nodes.select("node", "cluster", "k").join(loose, "node"), "loose")
-    mixed = loose.groupBy("loose").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a < b").select("loose")
-    wanted = loose.join(mixed, "loose").select("loose", "cluster", "node", "k.doc_id", "k.text_key")
-    sets = table(shingle_sets(docs, wanted, ["loose", "cluster", "node"], k), "sets")
-    joined = components(similar_clusters(sets, similarity)).select(F.col("node").alias("cluster"), F.col("root").alias("whole"))
-    least = nodes.groupBy("cluster").agg(F.min("k").alias("k")).join(joined, "cluster", "left")
+    loose = table(components(near).withColumnRenamed("root", "loose"), "loose")
+    # Texts in a loose group are read once: for the check of clusters, and for the comparison of what is left.
+    firsts = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", "k").alias("first"))
+    grouped = nodes.join(loose, "node").join(firsts, "root")
+    grouped = grouped.select("loose", F.col("root").alias("cluster"), "node", "n", (F.col("node") == F.col("first")).alias("first"), "k.doc_id", "k.text_key")
+    sets = table(shingle_sets(docs, grouped, ["loose", "cluster", "node", "n", "first"], k), "sets")
+    # What lies near a cluster's first text is checked against it; what fails gets a name that no node has.
+    far = table(unlike(sets.where("n > 1").drop("n"), similarity).withColumn("far", F.lit(True)), "unlike")
+    rename = lambda df, root: df.join(far, "node", "left").withColumn("cluster", F.when(F.col("far"), -1 - F.col("node")).otherwise(F.col(root))).drop("far")
+    sets = rename(sets.select("loose", "cluster", "node", "hashes"), "cluster")
+    mixed = rename(grouped.select("loose", "cluster", "node"), "cluster").groupBy("loose").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a < b").select("loose")
+    joined = components(similar_clusters(table(sets.join(mixed, "loose"), "mixed"), similarity)).select(F.col("node").alias("cluster"), F.col("root").alias("whole"))
+    least = rename(nodes.select("node", "root", "k"), "root").groupBy("cluster").agg(F.min("k").alias("k")).join(joined, "cluster", "left")
     kept = least.groupBy(F.coalesce("whole", "cluster").alias("whole")).agg(F.min("k").alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key() == F.col("__text"))
-    return docs.join(kept.hint("shuffle_hash"), same, "left_semi").select(*docs.columns)
+    kept = kept.select(row(F.col("k.doc_id"), F.col("k.text_key")).alias("__row"))
+    # Fewer rows go than stay, as a rule: where they are few enough to send, no text moves.
+    gone = table(names.select("__row").join(kept, "__row", "left_anti"), "gone")
+    return docs.withColumn("__row", row(F.col("doc_id"), text_key())).join(gone, "__row", "left_anti").select(*docs.columns)
