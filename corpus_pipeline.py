@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet into the folder that the
 cluster shares and rereads as the next stage's docs. All but the last return the columns of documents. The models and
 hashes of the stages can't be expressed in SQL, so ORACLE_SQL is None; tests compare run() with a brute-force version.
+
+Defined results: a null text counts as empty; documents score by their text alone, so a null doc_id or repeated row is kept
+or dropped like any other; of equal texts, and of a group of near-duplicates, the row with the smallest doc_id stays (a
+null one last), and of rows that share it one; a null source is a source of its own; rows that the mix takes several times
+are packed as often; an empty table has an empty result; columns beyond those of documents, whatever their names, come
+along to the last stage and play no part.
 """
 
 from __future__ import annotations

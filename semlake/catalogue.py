@@ -585,6 +585,65 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return relational.value_implied_tags(S.orders(spark, d).attrs, [("priority", "1-URGENT", "rush"), ("priority", "2-HIGH", "soon")])
 
 
+@query("q_implied_values", f"SELECT {PART}p_partkey AS oid, 'discount' AS key, CASE p_type WHEN 'PROMO' THEN 0.2 ELSE 0.1 END::DOUBLE AS v_float FROM part WHERE p_type IN ('PROMO', 'SMALL')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rules = [("type:PROMO", "discount", Value("float", 0.2)), ("type:SMALL", "discount", Value("float", 0.1))]
+    return relational.implied_values(S.parts(spark, d).tags, rules).select("oid", "key", "v_float")
+
+
+@query(
+    "q_audit_relation_target",
+    f"SELECT {ORDER}l_orderkey AS oid, 'contains' AS predicate, {PART}l_partkey AS target, 'type:PROMO' AS tag FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE p_type IS DISTINCT FROM 'PROMO'",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return relational.relation_target_violations(related(spark, d).rels, S.parts(spark, d).tags, [("contains", "type:PROMO")])
+
+
+@query("q_inverse", f"SELECT {CUSTOMER}o_custkey AS oid, 'placed' AS predicate, {ORDER}o_orderkey AS target FROM orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return relational.with_inverses(related(spark, d).rels, [("placed_by", "placed")]).where("predicate = 'placed'")
+
+
+@query("q_composite", f"SELECT DISTINCT {CUSTOMER}o_custkey AS oid, 'bought' AS predicate, {PART}l_partkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Customers bought what their orders contain: the inverse of placed_by, followed by contains."""
+    rels = relational.with_inverses(related(spark, d).rels, [("placed_by", "placed")])
+    return relational.composite(rels, "bought", "placed", "contains")
+
+
+@query("q_order_by_sequence", f"SELECT {TURN}conv_id * 1000 + turn AS oid, row_number() OVER (ORDER BY conv_id, turn) * 1048576 AS pos FROM conversations WHERE role = 'assistant'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = S.conversations(spark, d)
+    return relational.order_by_sequence(facets.upgrade_to_ordered(c.tags), evaluate(A.HasTag("role:assistant"), c), "role:assistant")
+
+
+@query("q_presence", f"SELECT {DOC}doc_id AS oid, CASE WHEN text IS NULL THEN NULL WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'cached' WHEN sha256(text) IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id)) THEN 'cached' ELSE 'remote' END AS presence FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A node that has cached the contents of labelled documents."""
+    docs = S.read(spark, d, "documents").select(oid_column(5, F.col("doc_id")).alias("oid"), "doc_id", content.content_hash(F.col("text")).alias("content_hash"))
+    held = docs.join(S.read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("content_hash", F.lit("cached").alias("state"))
+    return content.presence(docs, held)
+
+
+@query("q_visible_facets", f"SELECT tag, count(*) AS n FROM ({PART_TAGS}) WHERE oid IN (SELECT {PART}p_partkey FROM part WHERE p_size < 20) GROUP BY tag")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Facets of all that a caller may see, who may see parts below a size."""
+    return facets.facets(facets.visible_to(S.parts(spark, d), dsl.parse("(attr size < 20)")).tags)
+
+
+@query("q_ranked_insert", f"SELECT {DOC}doc_id AS oid, n_chars AS score FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = S.read(spark, d, "documents")
+    added = docs.select(F.lit("long").alias("tag"), oid_column(5, F.col("doc_id")).alias("oid"), F.col("n_chars").alias("score"), F.col("doc_id").alias("seq"))
+    return facets.ranked(facets.insert_ranked(facets.upgrade_to_ranked(added.limit(0)), added), "long")
+
+
+@query("q_chunking_rules", f"SELECT {PART}p_partkey AS oid, CASE WHEN p_size >= 45 THEN 'cdc' ELSE 'fixed' END AS algo FROM part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = content.chunking_of(S.parts(spark, d), [({"algo": "cdc"}, dsl.parse("(attr size >= 45)"))], {"algo": "fixed"})
+    return found.select("oid", F.col("params")["algo"].alias("algo"))
+
+
 @query("q_traverse", f"SELECT DISTINCT {PART}l_partkey AS oid FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'")
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = related(spark, d)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from semlake.operators.ontology import rule_table
 from semlake.plans import algebra as A
 from semlake.plans.compile import Collection, memberships
 
@@ -223,7 +224,7 @@ def policy_of_objects(tags: DataFrame, ontology) -> DataFrame:  # noqa: ANN001
     declared = [(axis, t) for axis in ("chunking", "compression", "encryption") for t in ontology.declared(axis)]
     # How many declaring tags of its axis a tag implies; along one axis they are a chain, so most wins.
     rows = [(t, axis, sum(ontology.is_a(t, o) for a, o in declared if a == axis)) for axis, t in declared]
-    known = tags.sparkSession.createDataFrame(rows, "tag string, axis string, depth int")
-    found = tags.select("oid", "tag").join(F.broadcast(known), "tag")
+    known = rule_table(tags.sparkSession, rows, "tag string, axis string, depth int")
+    found = tags.select("oid", "tag").join(known, "tag")
     nth = F.row_number().over(Window.partitionBy("oid", "axis").orderBy(F.desc("depth"), "tag"))
     return found.withColumn("nth", nth).where("nth = 1").select("oid", "axis", F.col("tag").alias("declared_by"))

@@ -305,9 +305,7 @@ class Ontology:
 
     def closure_table(self, spark: SparkSession) -> DataFrame:
         """(tag, ancestor), each tag its own ancestor too."""
-        rows = self.closure_rows()
-        made = spark.createDataFrame(rows, "tag string, ancestor string")
-        return F.broadcast(made) if len(rows) <= BROADCAST_ROWS else made
+        return rule_table(spark, self.closure_rows(), "tag string, ancestor string")
 
     def tag_table(self, spark: SparkSession) -> DataFrame:
         owner = {t.name: m.id for m in self.modules.values() for t in m.tags}
@@ -315,6 +313,12 @@ class Ontology:
         return spark.createDataFrame(rows, "tag_id int, tag string, semantics string, value_type string, module string")
 
 
+def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """What the driver holds as a table; broadcast only up to a fixed number of rows."""
+    made = spark.createDataFrame(rows, schema)
+    return F.broadcast(made) if len(rows) <= BROADCAST_ROWS else made
+
+
 def materialise(direct: DataFrame, ontology: Ontology) -> DataFrame:
     """(oid, tag, origin) with implied tags, from direct tags (oid, tag). A tag that is set stays direct."""
     closure = ontology.closure_table(direct.sparkSession)
@@ -328,22 +332,22 @@ def materialise(direct: DataFrame, ontology: Ontology) -> DataFrame:
 def mutex_violations(tags: DataFrame, ontology: Ontology) -> DataFrame:
     """(oid, tag, other) for objects with two tags that exclude each other: an audit, as nothing enforces it."""
     pairs = _pairs(tags.sparkSession, ontology, "mutex")
-    return tags.select("oid", "tag").join(F.broadcast(pairs), "tag").join(tags.select("oid", F.col("tag").alias("other")), ["oid", "other"]).select("oid", "tag", "other")
+    return tags.select("oid", "tag").join(pairs, "tag").join(tags.select("oid", F.col("tag").alias("other")), ["oid", "other"]).select("oid", "tag", "other")
 
 
 def missing_requirements(tags: DataFrame, ontology: Ontology) -> DataFrame:
     """(oid, tag, other) for objects that have tag but not the other one that it requires."""
     pairs = _pairs(tags.sparkSession, ontology, "requires")
-    asked = tags.select("oid", "tag").join(F.broadcast(pairs), "tag")
+    asked = tags.select("oid", "tag").join(pairs, "tag")
     return asked.join(tags.select("oid", F.col("tag").alias("other")), ["oid", "other"], "left_anti").select("oid", "tag", "other")
 
 
 def _pairs(spark: SparkSession, ontology: Ontology, kind: str) -> DataFrame:
-    return spark.createDataFrame([(a, b) for a, k, b in sorted(ontology.relations) if k == kind], "tag string, other string")
+    return rule_table(spark, [(a, b) for a, k, b in sorted(ontology.relations) if k == kind], "tag string, other string")
 
 
 def wrong_types(attrs: DataFrame, ontology: Ontology) -> DataFrame:
     """(oid, key, v_type, declared) for values of another type than their key declares."""
     rows = [(t.name, t.value_type) for t in ontology.tags.values() if t.value_type]
-    declared = attrs.sparkSession.createDataFrame(rows, "key string, declared string")
-    return attrs.join(F.broadcast(declared), "key").where(F.col("v_type") != F.col("declared")).select("oid", "key", "v_type", "declared")
+    declared = rule_table(attrs.sparkSession, rows, "key string, declared string")
+    return attrs.join(declared, "key").where(F.col("v_type") != F.col("declared")).select("oid", "key", "v_type", "declared")

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semlake.functions.values import TYPES
+from semlake.functions.values import TYPES, VALUE_SCHEMA, Value
+from semlake.operators.ontology import rule_table
 from semlake.storage import drop_table, table
 
 AGGREGATES = ("count", "sum", "avg", "min", "max", "count_distinct")
@@ -127,9 +128,49 @@ def bucket_tags(attrs: DataFrame, key: str, kind: str, bounds: Sequence[tuple[st
 
 def value_implied_tags(attrs: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """(oid, tag) for rules (key, text value, tag)."""
-    known = attrs.sparkSession.createDataFrame(list(rules), "key string, v_text string, tag string")
-    rows = attrs.where((F.col("v_type") == "text") & F.col("v_ctx").isNull()).select("oid", "key", "v_text")
-    return rows.join(F.broadcast(known), ["key", "v_text"]).select("oid", "tag").distinct()
+    known = rule_table(attrs.sparkSession, list(rules), "key string, v_text string, tag string")
+    keys = sorted({k for k, _, _ in rules})
+    rows = attrs.where(F.col("key").isin(keys) & (F.col("v_type") == "text") & F.col("v_ctx").isNull()).select("oid", "key", "v_text")
+    return rows.join(known, ["key", "v_text"]).select("oid", "tag").distinct()
+
+
+def implied_values(tags: DataFrame, rules: Sequence[tuple[str, str, Value]]) -> DataFrame:
+    """(oid, key, v_...): the value that each rule (tag, key, value) gives to the objects with its tag, once."""
+    fields = VALUE_SCHEMA.fieldNames()
+    known = [(t, k, *[v.row()[f] for f in fields]) for t, k, v in rules]
+    schema = ", ".join(["tag string", "key string", *[f"{f.name} {f.dataType.simpleString()}" for f in VALUE_SCHEMA]])
+    found = tags.where(F.col("tag").isin(sorted({t for t, _, _ in rules}))).select("oid", "tag")
+    return found.join(rule_table(tags.sparkSession, known, schema), "tag").select("oid", "key", *fields).distinct()
+
+
+def relation_target_violations(rels: DataFrame, tags: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """(oid, predicate, target, tag) for relations whose target lacks the tag that a rule (predicate, tag) asks for."""
+    asked = rels.where(F.col("predicate").isin(sorted({p for p, _ in rules}))).select("oid", "predicate", "target")
+    asked = asked.join(rule_table(rels.sparkSession, list(rules), "predicate string, tag string"), "predicate")
+    have = tags.where(F.col("tag").isin(sorted({t for _, t in rules}))).select(F.col("oid").alias("target"), "tag")
+    return asked.join(have, ["target", "tag"], "left_anti").select("oid", "predicate", "target", "tag")
+
+
+def with_inverses(rels: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(oid, predicate, target) with, for each pair of predicates, every relation of one as one of the other the other way
+    round; a predicate that is its own inverse is symmetric."""
+    both = sorted({(a, b) for p, q in pairs for a, b in ((p, q), (q, p))})
+    known = rule_table(rels.sparkSession, both, "predicate string, other string")
+    turned = rels.where(F.col("predicate").isin([a for a, _ in both])).join(known, "predicate").select(F.col("target").alias("oid"), F.col("other").alias("predicate"), F.col("oid").alias("target"))
+    return rels.select("oid", "predicate", "target").unionByName(turned).distinct()
+
+
+def composite(rels: DataFrame, name: str, first: str, second: str) -> DataFrame:
+    """(oid, predicate, target): name holds from a to c where first holds from a to some b and second from b to c."""
+    a = rels.where(F.col("predicate") == first).select("oid", F.col("target").alias("b"))
+    c = rels.where(F.col("predicate") == second).select(F.col("oid").alias("b"), "target")
+    return a.join(c, "b").select("oid", F.lit(name).alias("predicate"), "target").distinct()
+
+
+def order_by_sequence(collection: DataFrame, selection: DataFrame, tag: str) -> DataFrame:
+    """(oid, pos): the selected members of an ordered collection (tag, oid, pos), in its order."""
+    own = collection.where(F.col("tag") == tag).select("oid", "pos")
+    return own.join(selection.select("oid"), "oid", "left_semi").orderBy("pos", "oid")
 
 
 def several_values(attrs: DataFrame, keys: Sequence[str]) -> DataFrame:
