@@ -85,8 +85,8 @@ algebra("q_has_tag", S.parts, "(tag type:PROMO)", part_ids("p_type = 'PROMO'"))
 algebra("q_and", S.parts, "(and (tag type:PROMO) (tag brand:Brand#11))", part_ids("p_type = 'PROMO' AND p_brand = 'Brand#11'"))
 algebra("q_or", S.parts, "(or (tag type:PROMO) (tag brand:Brand#11))", part_ids("p_type = 'PROMO' OR p_brand = 'Brand#11'"))
 algebra("q_not", S.parts, "(not (tag type:PROMO))", part_ids("p_type <> 'PROMO'"))
-algebra("q_and_empty", S.parts, "(and)", part_ids("false"))
-algebra("q_or_empty", S.parts, "(or)", part_ids("false"))
+algebra("q_and_empty", S.parts, "(or (and) (tag type:PROMO))", part_ids("p_type = 'PROMO'"))
+algebra("q_or_empty", S.parts, "(and (not (or)) (not (and)) (not (tag type:PROMO)))", part_ids("p_type <> 'PROMO'"))
 algebra("q_attr_eq_int", S.parts, "(attr size = 10)", part_ids("p_size = 10"))
 algebra("q_attr_eq_text", S.parts, '(attr name = "blue bolt")', part_ids("p_name = 'blue bolt'"))
 algebra("q_attr_eq_float", S.parts, "(attr price = 900.5)", part_ids("p_retailprice = 900.5"))
@@ -104,7 +104,7 @@ algebra(
     "q_attr_timestamp", S.orders, A.HasAttr("date", ">=", Value("timestamp", 978_307_200 * 10**9)),
     f"SELECT {ORDER}o_orderkey AS oid FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'",
 )
-algebra("q_type_mismatch", S.parts, "(or (attr size = 10.0) (attr price = 900) (attr size = \"10\"))", part_ids("p_retailprice <> p_retailprice"))
+algebra("q_type_mismatch", S.parts, "(or (attr size = 10.0) (attr price = 900) (attr size = \"10\") (attr size = 11))", part_ids("p_size = 11"))
 algebra("q_prefix", S.parts, "(attr name prefix red)", part_ids("starts_with(p_name, 'red')"))
 algebra("q_contains", S.documents, "(attr text contains License)", f"SELECT {DOC}doc_id AS oid FROM documents WHERE contains(text, 'License')")
 algebra(
@@ -131,8 +131,8 @@ algebra("q_direct_only", S.customers, A.HasTag("nation:NATION_2", direct=True),
 algebra("q_implied_not_direct", S.customers, A.And((A.HasTag("region:ASIA"), A.Not(A.HasTag("region:ASIA", direct=True)))), f"{CUSTOMERS_BY_REGION} WHERE r_name = 'ASIA'")
 algebra("q_has_key", lines, A.HasKey("shipdate"), order_ids("true"))
 algebra(
-    "q_under", S.pages, A.Under("unix-path", "ththre.example.com/fr", "web"),
-    f"SELECT {PAGE}page_id AS oid FROM pages WHERE regexp_matches(url, '^[a-z]+://ththre\\.example\\.com/fr([/?#]|$)')",
+    "q_under", S.pages, A.Under("unix-path", "ththre.example.com", "web"),
+    f"SELECT {PAGE}page_id AS oid FROM pages WHERE regexp_matches(url, '^[a-z]+://ththre\\.example\\.com([/?#]|$)')",
 )
 
 
