@@ -332,8 +332,8 @@ def short_links(nodes: DataFrame, similarity: float) -> DataFrame:
     return join_hot(some, stars, "shingle", "n", some.count()).where("node <> v").select(F.col("node").alias("u"), "v")
 
 
-#: Bytes of shingles in a block.
-BLOCK = 4 << 20
+#: Bytes of shingles in a block, and in a unit of texts that are checked against one.
+BLOCK, UNIT = 4 << 20, 64 << 10
 
 
 def similar(cluster: np.ndarray, sets: Sequence[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -384,9 +384,9 @@ def similar_clusters(sets: DataFrame, similarity: float) -> DataFrame:
 
 def unlike(sets: DataFrame, similarity: float) -> DataFrame:
     """(node): texts of sets (cluster, node, first, hashes) that are less similar than that to the one text of their
-    cluster which is marked first. A cluster's texts are dealt into units of about BLOCK bytes, and its first text goes to
+    cluster which is marked first. A cluster's texts are dealt into units of about UNIT bytes, and its first text goes to
     each of them."""
-    sizes = sets.groupBy("cluster").agg(F.ceil(F.sum(F.length("hashes")) / F.lit(BLOCK)).cast("int").alias("units"))
+    sizes = sets.groupBy("cluster").agg(F.ceil(F.sum(F.length("hashes")) / F.lit(UNIT)).cast("int").alias("units"))
     units = F.greatest("units", F.lit(1))
     dealt = sets.join(table(sizes, "sizes"), "cluster").withColumn(
         "unit", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), units - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), units).cast("int"))))
