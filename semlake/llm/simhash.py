@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semlake.llm import textblock
@@ -64,26 +64,24 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
     return np.packbits(ones * 2 > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, k: int, words: int = 1, sets: bool = False, few: int = 0) -> DataFrame:
-    """(doc_id, text_key, fp) for every row; sets: repeats of a shingle don't count. few: with the distinct shingles of
-    texts that have up to so many, as ``few``, null for others."""
-    names = ["doc_id", "text_key", "fp"] + ["few"] * bool(few)
+def fingerprints(docs: DataFrame, k: int, words: int = 1, sets: bool = False) -> DataFrame:
+    """(doc_id, text_key, fp, size) for every row; sets: repeats of a shingle don't count. size: shingles counted."""
+    names = ["doc_id", "text_key", "fp", "size"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for b in textblock.batches(part, "text"):
                 texts = b.column(2).cast(pa.binary()).to_pylist()
-                prints, short = [], []
+                prints, size = [], []
                 for t in texts:
                     h = shingle_hashes(t or b"", k)
-                    h = np.unique(h) if sets or few else h
+                    h = np.unique(h) if sets else h
                     prints.append(fingerprint(h, words))
-                    short.append(h.view(np.int64) if 0 < len(h) <= few else None)
-                columns = [*b.columns[:2], pa.array(prints, pa.binary())] + [pa.array(short, pa.list_(pa.int64()))] * bool(few)
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    size.append(len(h))
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(prints, pa.binary()), pa.array(size, pa.int64())], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, fp binary" + ", few array<long>" * bool(few))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp binary, size long")
 
 
 class Trie:
@@ -274,7 +272,7 @@ EXACT_ROOTS: tuple[Root, ...] = ((0, 42, 22), (0, 21, 21), (0, 0, 21))
 
 def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row: 64 bits, linked at two differing bits or fewer."""
-    prints = table(fingerprints(docs, k).drop("text_key"), "prints")
+    prints = table(fingerprints(docs, k).drop("text_key", "size"), "prints")
     nodes = distinct(prints)
     found = table(links(nodes, EXACT_ROOTS, (2,)), "links")
     return labelled(prints, nodes, found).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -310,24 +308,102 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, names: list[str], k: int) -
     return rows.join(wanted, same).select(*names, "text").mapInArrow(run, f"{schema}, hashes binary")
 
 
-#: Fingerprints of texts with fewer shingles are too coarse (ties round to 0): pairs with such a text are found by shingles.
-SHORT = 30
+#: Shingles in a bucket, where those of several texts are told from those of one.
+BUCKET = 1 << 21
+#: Frequent shingles are found in a sample of about so many texts, and so many of them are kept out of the buckets. Any
+#: choice gives the same pairs, as it only says which shingles come last.
+SAMPLE, FREQUENT = 10_000, 1 << 16
 
 
-def short_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): stars that join any two nodes (node, few) whose shingles have that similarity, and others besides.
+def text_name(doc_id: Column | str, key: Column | str) -> Column:
+    """64 bits for a row. Two rows with one name could at worst hide a pair from shared_links; they join nothing."""
+    return F.xxhash64(doc_id, key)
 
-    The rarest shingles of each text come first; similar sets then share one among the first n - ceil(similarity * n) + 1
-    of each, n being its own size.
+
+def frequent_shingles(rows: DataFrame, k: int, n_rows: int) -> np.ndarray:
+    """The most frequent shingles of a sample of rows (name, text), sorted."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for b in textblock.batches(part, "text"):
+                found = [np.unique(shingle_hashes(t or b"", k)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+                shingle, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    share = min(1 << 30, SAMPLE * (1 << 30) // max(1, n_rows))
+    some = rows.where(F.pmod(F.xxhash64(F.lit(31), "name"), F.lit(1 << 30)) < share).mapInArrow(run, "shingle long, n long")
+    often = some.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, SAMPLE // 2000))
+    found = often.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
+
+
+def repeated_shingles(rows: DataFrame, k: int, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """(name, n, shingle): the shingles of rows (name, text) that more than one row has, each under a number of its own
+    (now and then several under one), n being the rows that have it or, for the frequent ones, more than all rows.
+
+    Shingles move packed, by hash into buckets; the frequent ones by row, so no bucket holds what very many rows share.
+    """
+
+    def packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+        offsets = (at * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for b in textblock.batches(part, "text", 4 << 20):
+                found = [np.unique(shingle_hashes(t or b"", k)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+                shingle = np.concatenate([np.zeros(0, np.uint64), *found])
+                name = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
+                bucket = ((shingle >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                value = (shingle & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                if len(frequent):
+                    place = np.minimum(np.searchsorted(frequent, shingle), len(frequent) - 1)
+                    often = frequent[place] == shingle
+                    bucket[often] = buckets + name[often] % buckets
+                    value[often] = place[often]
+                order = np.argsort(bucket, kind="stable")
+                edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+                if len(order):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket[order][edge[:-1]]), packed(value[order], edge), packed(name[order], edge)], names=["bucket", "value", "name"]
+                    )
+
+    def count(t: pa.Table) -> pa.Table:
+        bucket = t.column("bucket")[0].as_py()
+        value = np.frombuffer(b"".join(t.column("value").to_pylist()), np.uint32)
+        name = np.frombuffer(b"".join(t.column("name").to_pylist()), np.int64)
+        if bucket >= buckets:
+            n, shingle = np.full(len(value), np.iinfo(np.int64).max), -1 - value.astype(np.int64)
+        else:
+            order = np.argsort(value, kind="stable")
+            value, name = value[order], name[order]
+            n = np.diff(np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]])))
+            n = np.repeat(n, n)
+            several = n > 1
+            n, name, shingle = n[several], name[several], (bucket << 32) + value[several].astype(np.int64)
+        return pa.table({"name": pa.array(name), "n": pa.array(n, pa.int64()), "shingle": pa.array(shingle, pa.int64())})
+
+    dealt = rows.mapInArrow(deal, "bucket long, value binary, name binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "name long, n long, shingle long")
+
+
+def shared_links(docs: DataFrame, nodes: DataFrame, copies: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(u, v): stars that join any two nodes (node, name, size) whose shingles have that similarity, and others besides.
+    Each node is the row of docs by its name; copies (name) are the rows that aren't nodes.
+
+    A prefix filter: the rarest shingles of each text come first; similar sets then share one among the first
+    n - ceil(similarity * n) + 1 of each, n being its own size. Shingles of one text join nothing but come before all
+    others, so few texts have any that matters among their first.
     """
-    each = table(nodes.where("few is not null").select("node", F.size("few").alias("size"), F.explode("few").alias("shingle")), "few")
-    total = each.count()
-    often = table(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "often")
-    # A shingle of one text joins nothing, but takes a place among the first.
-    ranked = join_hot(each, often, "shingle", "n", total).groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("all"))
-    first = (F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
-    some = ranked.select("node", F.explode(F.slice("all", F.lit(1), first)).alias("x")).where("x.n > 1").select("node", "x.shingle")
-    some = table(some, "first")
+    n_rows, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    rows = docs.select(text_name(F.col("doc_id").cast("long"), text_key()).alias("name"), "text").join(copies, "name", "left_anti")
+    frequent = frequent_shingles(rows, k, n_rows)
+    repeated = repeated_shingles(rows, k, frequent, max(1, -(-total // BUCKET)))
+    ranked = repeated.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("all")).join(nodes, "name")
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) + 1
+    mine = (first - (F.col("size") - F.size("all"))).cast("int")
+    some = ranked.where(mine > 0).select("node", F.explode(F.slice("all", F.lit(1), mine)).alias("x")).select("node", "x.shingle")
+    some = table(some.distinct(), "first")
     stars = table(some.groupBy("shingle").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")), "firsts")
     return join_hot(some, stars, "shingle", "n", some.count()).where("node <> v").select(F.col("node").alias("u"), "v")
 
@@ -411,11 +487,10 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     Texts are compared by their sets of k-word shingles. Fingerprints of 384 bits that lie three standard errors nearer
     than ``similarity`` asks for make clusters, whose texts are each checked against the cluster's first by exact Jaccard
     similarity; those that fail stand alone. Fingerprints up to three standard errors further make loose groups, and so do
-    texts with few shingles that share one of their rarest. In loose groups of several clusters all texts are compared
+    texts that share one of their rarest shingles, which loses no pair. In loose groups of several clusters all texts are compared
     exactly, and clusters join where similarity is at least ``similarity``.
     """
-    few = math.floor((SHORT - 1) / similarity + 1e-9)  # what a short text can be similar to
-    prints = table(fingerprints(docs, k, WIDE_WORDS, sets=True, few=few), "prints")
+    prints = table(fingerprints(docs, k, WIDE_WORDS, sets=True), "prints")
     row = lambda i, t: F.concat_ws("-", F.coalesce(i.cast("string"), F.lit("none")), t.cast("string"))
     names = prints.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).select(row(F.col("doc_id"), F.col("text_key")).alias("__row"), "n")
     several = table(names.where("n > 1").drop("n"), "several")
@@ -426,9 +501,10 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     found = table(links(print_nodes, WIDE_ROOTS, (hamming_budget(similarity, bits, -3), hamming_budget(similarity, bits, 3))), "links")
     clusters = labelled(prints, print_nodes, found.where("level = 0")).drop("component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    nodes = clusters.groupBy("fp", "node", "root").agg(F.min(order).alias("k"), F.min_by("few", order).alias("few"))
-    nodes = table(nodes.drop("fp"), "nodes")
-    near = found.where("level = 1").select("u", "v").unionByName(short_links(nodes, similarity))
+    nodes = clusters.groupBy("fp", "node", "root").agg(F.min(order).alias("k"), F.min_by("size", order).alias("size"))
+    nodes = table(nodes.drop("fp").withColumn("name", text_name("k.doc_id", "k.text_key")), "nodes")
+    copies = table(prints.select(text_name("doc_id", "text_key").alias("name")).join(nodes, "name", "left_anti").distinct(), "copies")
+    near = found.where("level = 1").select("u", "v").unionByName(shared_links(docs, nodes.select("node", "name", "size"), copies, k, similarity))
     loose = table(components(near).withColumnRenamed("root", "loose"), "loose")
     # Texts in a loose group are read once: for the check of clusters, and for the comparison of what is left.
     firsts = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", "k").alias("first"))
