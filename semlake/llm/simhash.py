@@ -309,7 +309,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, names: list[str], k: int) -
 
 
 #: Shingles in a bucket, where those of several texts are told from those of one.
-BUCKET = 1 << 21
+BUCKET = 1 << 20
+#: Partitions that buckets are dealt to at most, as many partitions cost the driver; further buckets share them, one at a time.
+PARTITIONS = 1 << 16
 #: Frequent shingles are found in a sample of about so many texts, and so many of them are kept out of the buckets. Any
 #: choice gives the same pairs, as it only says which shingles come last.
 SAMPLE, FREQUENT = 10_000, 1 << 16
@@ -383,7 +385,10 @@ def repeated_shingles(rows: DataFrame, k: int, frequent: np.ndarray, buckets: in
             n, name, shingle = n[several], name[several], (bucket << 32) + value[several].astype(np.int64)
         return pa.table({"name": pa.array(name), "n": pa.array(n, pa.int64()), "shingle": pa.array(shingle, pa.int64())})
 
+    # As many partitions as the shingles ask for, whatever the session's setting.
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.mapInArrow(deal, "bucket long, value binary, name binary")
+    dealt = dealt.repartition(max(least, min(2 * buckets, PARTITIONS)), "bucket")
     return dealt.groupBy("bucket").applyInArrow(count, "name long, n long, shingle long")
 
 
