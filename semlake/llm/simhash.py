@@ -413,8 +413,10 @@ def shared_links(docs: DataFrame, nodes: DataFrame, copies: DataFrame, k: int, s
     return join_hot(some, stars, "shingle", "n", some.count()).where("node <> v").select(F.col("node").alias("u"), "v")
 
 
-#: Bytes of shingles in a block, and in a unit of texts that are checked against one.
+#: Bytes of shingles in a block, and in a unit of texts that are checked against one; smaller groups are cut into so many
+#: blocks of at least so many bytes.
 BLOCK, UNIT = 4 << 20, 64 << 10
+PARTS, SMALL = 4, 256 << 10
 
 
 def similar(cluster: np.ndarray, sets: Sequence[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -444,12 +446,13 @@ def similar(cluster: np.ndarray, sets: Sequence[np.ndarray], similarity: float)
 def similar_clusters(sets: DataFrame, similarity: float) -> DataFrame:
     """(u, v): links between clusters by similar texts, given sets (loose, cluster, node, hashes).
 
-    All texts of a loose group are compared. Groups of up to BLOCK bytes of shingles share units, several in each; larger
-    ones are cut into blocks by hash, and every two blocks meet in a unit of twice that size.
+    All texts of a loose group are compared. Groups of up to SMALL bytes of shingles share units, several in each; larger
+    ones are cut into blocks by hash, PARTS or as many of BLOCK bytes as it takes, and every two blocks meet in a unit.
     """
+    block = F.least(F.greatest(F.col("bytes") / F.lit(PARTS), F.lit(min(SMALL, BLOCK))), F.lit(BLOCK))
     sizes = sets.groupBy("loose").agg(F.sum(F.length("hashes")).alias("bytes"))
-    sizes = table(sizes.withColumn("blocks", F.ceil(F.col("bytes") / F.lit(BLOCK)).cast("int")), "sizes")
-    shared = max(1, -(-(sizes.where("blocks <= 1").agg(F.sum("bytes")).first()[0] or 0) // BLOCK))
+    sizes = table(sizes.withColumn("blocks", F.ceil(F.col("bytes") / block).cast("int")), "sizes")
+    shared = max(1, -(-(sizes.where("blocks <= 1").agg(F.sum("bytes")).first()[0] or 0) // SMALL))
     dealt = sets.join(sizes.drop("bytes"), "loose").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     small = dealt.where("blocks <= 1").select(F.pmod(F.xxhash64("loose"), F.lit(shared)).alias("unit"), F.lit(-1).alias("p"), F.lit(-1).alias("q"), "cluster", "hashes")
     large = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
